@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsheet.llm import canonical
+from loomsheet.llm import canonical, sentences
 from loomsheet.session import load
 
 
@@ -21,5 +21,19 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.equal_looks(paragraph_items(spark, sf_dir))
 
 
-QUERIES = {"p4_found": p4_found}
+def sentence_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(word_id, field_name, item_no, text) of the texts and footnotes of word_texts, copies of a record once."""
+    words = load(spark, sf_dir, "word_texts").select("word_id", "text", "footnotes")
+    texts = words.select("word_id", F.lit("text").alias("field_name"), F.lit(0).alias("item_no"), "text")
+    notes = words.select("word_id", F.lit("footnotes").alias("field_name"), F.posexplode("footnotes").alias("item_no", "text"))
+    return texts.unionByName(notes).filter("text is not null")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentence units of the texts and footnotes of word_texts."""
+    model = sentences.fit(load(spark, sf_dir, "word_texts"), "text", "word_id")
+    return sentences.unit_rows(sentence_items(spark, sf_dir), model).distinct()
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found}
 SQL: dict[str, str] = {}
