@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsheet.llm import canonical, sentences
+from loomsheet.llm import canonical, language, sentences
 from loomsheet.session import load
 
 
@@ -21,6 +21,34 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.equal_looks(paragraph_items(spark, sf_dir))
 
 
+def labelled_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rec_table, rec_id, label, texts) of documents, word_texts (paragraphs) and paragraph_audits."""
+    documents = load(spark, sf_dir, "documents").select(F.lit("documents").alias("rec_table"), F.col("doc_id").alias("rec_id"), F.col("lang").alias("label"), F.array("text").alias("texts"))
+    words = load(spark, sf_dir, "word_texts").select(F.lit("word_texts").alias("rec_table"), F.col("word_id").alias("rec_id"), F.col("lang").alias("label"), F.col("paragraphs").alias("texts"))
+    audits = load(spark, sf_dir, "paragraph_audits").select(F.lit("paragraph_audits").alias("rec_table"), F.col("audit_id").alias("rec_id"), F.col("lang").alias("label"), F.array("text").alias("texts"))
+    return documents.unionByName(words).unionByName(audits)
+
+
+def record_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main language and segments of every record, with confidence."""
+    models = language.fit(load(spark, sf_dir, "documents"), "doc_id")
+    units = sentences.fit(load(spark, sf_dir, "word_texts"), "text", "word_id", rows=1_000)
+    return language.language_rows(labelled_records(spark, sf_dir), models, units)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with a missing or wrong label (segment 0) and the segments of mixed rows."""
+    rows = record_languages(spark, sf_dir)
+    return rows.filter("segment_no > 0 or not label_right").select("rec_table", "rec_id", "segment_no", "lang").distinct()
+
+
+def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many records and segments each language has, with the mean confidence, by table."""
+    rows = record_languages(spark, sf_dir)
+    kind = F.when(F.col("segment_no") == 0, "record").otherwise("segment").alias("kind")
+    return rows.groupBy("rec_table", kind, "lang").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
+
+
 def sentence_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(word_id, field_name, item_no, text) of the texts and footnotes of word_texts, copies of a record once."""
     words = load(spark, sf_dir, "word_texts").select("word_id", "text", "footnotes")
@@ -35,5 +63,5 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.unit_rows(sentence_items(spark, sf_dir), model).distinct()
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found}
+QUERIES = {"p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p4_found": p4_found}
 SQL: dict[str, str] = {}
