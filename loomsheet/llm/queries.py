@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsheet.llm import canonical, language, sentences
+from loomsheet.llm import canonical, language, mixing, mojibake, packing, sentences, splitting, tokens
 from loomsheet.session import load
 
 
@@ -63,5 +63,77 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.unit_rows(sentence_items(spark, sf_dir), model).distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p2_languages": p2_languages, "p3_found": p3_found, "p4_found": p4_found}
+PARAGRAPH_LIMIT, TEXT_LIMIT, OVERLAP = 1_000, 4_000, 100
+
+
+def oversized_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of the paragraphs and texts of word_texts above their limits, copies of a record once."""
+    words = load(spark, sf_dir, "word_texts").select("word_id", "text", "paragraphs")
+    model = sentences.fit(words, "text", "word_id", rows=1_000)
+    texts = words.select("word_id", F.lit("text").alias("field_name"), F.lit(0).alias("item_no"), "text", F.lit(TEXT_LIMIT).alias("size_limit"))
+    paragraphs = words.select("word_id", F.lit("paragraphs").alias("field_name"), F.posexplode("paragraphs").alias("item_no", "text")).withColumn("size_limit", F.lit(PARAGRAPH_LIMIT))
+    items = texts.unionByName(paragraphs).filter(F.char_length("text") > F.col("size_limit")).withColumn("overlap", F.lit(OVERLAP))
+    return splitting.pieces(items.distinct(), model)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items above their limit: those that come out in pieces."""
+    return oversized_pieces(spark, sf_dir).select("word_id", "field_name", "item_no").distinct()
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces with their places."""
+    return oversized_pieces(spark, sf_dir)
+
+
+def sized_documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return tokens.with_tokens(load(spark, sf_dir, "documents").select("doc_id", *columns, "text"))
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container of every document, or of each part of a document above the capacity."""
+    return packing.pack(sized_documents(spark, sf_dir))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, their tokens and how full they are."""
+    sums = p7_containers(spark, sf_dir).groupBy("container").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("items"))
+    return sums.agg(
+        F.count("*").alias("containers"),
+        F.sum("items").alias("items"),
+        F.sum("tokens").alias("tokens"),
+        F.max("tokens").alias("fullest"),
+        F.round(F.sum("tokens") / (F.count("*") * packing.CAPACITY), 6).alias("fill"),
+    )
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture: which document is used in which slot."""
+    return mixing.mixture(sized_documents(spark, sf_dir, "source"), load(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares reached by the sources in the mixture."""
+    return mixing.reached(p8_mixture(spark, sf_dir), load(spark, sf_dir, "mix_targets"))
+
+
+def repaired_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = load(spark, sf_dir, "documents")
+    return mojibake.repaired_rows(documents, language.fit(documents, "doc_id"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents decoded wrongly, whole or in places."""
+    return repaired_documents(spark, sf_dir).select("doc_id").distinct()
+
+
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Restored texts of the documents found."""
+    return repaired_documents(spark, sf_dir).distinct()
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p2_found, p2_languages, p3_found, p4_found, p5_found, p5_pieces, p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_restored)
+}
 SQL: dict[str, str] = {}
