@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("problems",)
+MODULES = ("problems", "document", "spreadsheet")
 
 
 def _modules():
