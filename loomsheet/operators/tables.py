@@ -53,14 +53,14 @@ def top_n(df: DataFrame, x: str, n: int, bottom: bool = False, percent: bool = F
     if percent:
         n = max(1, math.ceil(kept.count() * n / 100))
     order = F.col(x).asc() if bottom else F.col(x).desc()
-    edge = kept.select(x).orderBy(order).limit(n).agg((F.max if bottom else F.min)(x).alias("_edge"))
-    return kept.join(F.broadcast(edge), F.col(x) <= F.col("_edge") if bottom else F.col(x) >= F.col("_edge")).drop("_edge")  # one row
+    edge = kept.select(x).orderBy(order).limit(n).agg((F.max if bottom else F.min)(x)).scalar()
+    return kept.filter(F.col(x) <= edge if bottom else F.col(x) >= edge)
 
 
 def average_filter(df: DataFrame, x: str, above: bool = True) -> DataFrame:
     """Rows strictly above or below the average of all rows."""
-    mean = df.agg(F.avg(x).alias("_mean"))
-    return df.join(F.broadcast(mean), F.col(x) > F.col("_mean") if above else F.col(x) < F.col("_mean")).drop("_mean")  # one row
+    mean = df.agg(F.avg(x)).scalar()
+    return df.filter(F.col(x) > mean if above else F.col(x) < mean)
 
 
 def kth_largest(df: DataFrame, x: str, k: int) -> DataFrame:
@@ -231,22 +231,21 @@ def classify(df: DataFrame, x: str, rules: dict[str, tuple]) -> DataFrame:
             out = out.join(counts, c.eqNullSafe(F.col("_x")), "left").withColumn(name, (F.col("_n") > 1) if kind == "duplicate" else (F.col("_n") == 1)).drop("_x", "_n")
         elif kind == "top10":
             n, bottom = args[0], len(args) > 1 and args[1]
-            edge = df.filter(c.isNotNull()).select(x).orderBy(c.asc() if bottom else c.desc()).limit(n).agg((F.max if bottom else F.min)(x).alias("_edge"))
-            out = out.join(F.broadcast(edge)).withColumn(name, F.coalesce(c <= F.col("_edge") if bottom else c >= F.col("_edge"), F.lit(False))).drop("_edge")
+            edge = df.filter(c.isNotNull()).select(x).orderBy(c.asc() if bottom else c.desc()).limit(n).agg((F.max if bottom else F.min)(x)).scalar()
+            out = out.withColumn(name, F.coalesce(c <= edge if bottom else c >= edge, F.lit(False)))
         elif kind == "time_period":
             day, back = F.lit(args[0]).cast("date"), args[1]
             out = out.withColumn(name, F.coalesce((c.cast("date") <= day) & (c.cast("date") > F.date_sub(day, back)), F.lit(False)))
         else:
-            bounds = df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.avg(x).alias("_mean"))
-            out = out.join(F.broadcast(bounds))  # one row
-            share = F.when(F.col("_hi") == F.col("_lo"), 0.5).otherwise((c - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
+            bounds = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"), F.avg(x).alias("mean"))).scalar()
+            low, high, mean = bounds["lo"], bounds["hi"], bounds["mean"]
+            share = F.when(high == low, 0.5).otherwise((c - low) / (high - low))
             if kind == "above_average":
-                out = out.withColumn(name, F.coalesce(c > F.col("_mean"), F.lit(False)))
+                out = out.withColumn(name, F.coalesce(c > mean, F.lit(False)))
             elif kind == "icon_set":
                 out = out.withColumn(name, F.least(F.floor(share * args[0]), F.lit(args[0] - 1)).cast("int"))
             else:  # color_scale and data_bar: place between the least and the greatest value
                 out = out.withColumn(name, share)
-            out = out.drop("_lo", "_hi", "_mean")
     return out
 
 

@@ -151,10 +151,10 @@ def filter_date_group(spark, sf_dir):
     return load(spark, sf_dir, "orders").filter(tables.date_group_filter("o_orderdate", "month", "1995-03-15")).select("o_orderkey")
 
 
-@query("SELECT id FROM papers WHERE (pub_year > 2000 AND pub_year <= 2015) AND NOT coalesce(title ILIKE '%soil%', false) AND coalesce(journal ILIKE 's%', false)")
+@query("SELECT id FROM papers WHERE (pub_year > 2000 AND pub_year <= 2015) AND NOT coalesce(title ILIKE '%soil%', false) AND coalesce(title ILIKE 't%' OR title ILIKE 'e%', false)")
 def filter_custom(spark, sf_dir):
     years = tables.two_clauses(tables.custom_filter("pub_year", "gt", 2000), tables.custom_filter("pub_year", "le", 2015))
-    return load(spark, sf_dir, "papers").filter(years & tables.custom_filter("title", "not_contains", "soil") & tables.custom_filter("journal", "begins", "s")).select("id")
+    return load(spark, sf_dir, "papers").filter(years & tables.custom_filter("title", "not_contains", "soil") & tables.two_clauses(tables.custom_filter("title", "begins", "t"), tables.custom_filter("title", "begins", "e"), both=False)).select("id")
 
 
 @query("SELECT id FROM papers WHERE pub_year IS DISTINCT FROM 2010")
