@@ -772,7 +772,7 @@ fn("REPT", 2)(lambda s, n: guard(trunc(n) >= 0, guard(F.length(text_of(s)) * tru
 @fn("SEARCH", 2, 3)
 def _search(what, s, start=1):
     """Wildcards, ignoring case; the pattern is a Python text."""
-    pattern = "(?is)" + wildcard(what)[5:-1]
+    pattern = "(?is)" + wildcard(what)[6:-1]
     tail = F.substring(text_of(s), F.lit(int(start)), F.lit(CELL_LIMIT))
     place = F.regexp_instr(tail, F.lit(pattern))
     return guard((text_of(s) != "") & (place > 0), place + int(start) - 1)

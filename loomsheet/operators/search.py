@@ -243,13 +243,10 @@ def _proximity(text: Column, term: Term) -> Column:
 
 
 def condition(df: DataFrame, tree, recall: bool = False) -> Column:
-    """The Column of a parsed query; ``recall`` keeps what can't be judged (no full text, other script)."""
-    cache: dict[str, Column] = {}
+    """The Column of a parsed query over a table made by ``with_normal_text``; ``recall`` keeps what can't be judged (no full text, other script)."""
 
     def text_of(name: str) -> Column:
-        if name not in cache:
-            cache[name] = normalized(field_text(df, name))
-        return cache[name]
+        return F.col(f"_text_{name}")
 
     def term(t: Term) -> Column:
         if t.between:
@@ -299,8 +296,15 @@ def doi(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(text)), r"^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)", "")
 
 
+def with_normal_text(df: DataFrame, tree) -> DataFrame:
+    """``df`` with the normal text of each field the query reads, computed once a row."""
+    names = dict.fromkeys(t.field for t in terms(tree) if t.field not in ("YE", "CF", "DOI"))
+    return df.withColumns({f"_text_{n}": normalized(field_text(df, n)) for n in names})
+
+
 def search(df: DataFrame, query: str, recall: bool = False) -> DataFrame:
-    return df.filter(condition(df, Query(query).tree, recall))
+    tree = Query(query).tree
+    return with_normal_text(df, tree).filter(condition(df, tree, recall)).select(*df.columns)
 
 
 def search_with_fallback(df: DataFrame, query: str) -> tuple[DataFrame, str]:
@@ -389,7 +393,7 @@ def merge(df: DataFrame, key: str = "id", order: str = "imported_at") -> DataFra
     longest = [F.max_by(c, F.struct(F.length(c), F.col(key))).alias(c) for c in ("abstract", "abstract_zh") if c in df.columns]
     return rows.groupBy("cluster").agg(
         F.count("*").alias("records"), *map(first, plain), *longest, F.max("citation_count").alias("citation_count"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.filter(F.transform(F.split(F.coalesce("keywords", F.lit("")), "[,;]"), F.trim), lambda x: x != ""))))).alias("keywords"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.filter(F.transform(F.split(F.coalesce("keywords", F.lit("")), "[,;]"), lambda x: F.trim(x)), lambda x: x != ""))))).alias("keywords"),
     )
 
 

@@ -58,8 +58,9 @@ def unmatched(cited: DataFrame, listed: DataFrame, most: int = 8) -> DataFrame:
 
 
 def cited_numbers(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, number) of numeric citations, ranges spelled out."""
-    groups = citations(df, key, text).filter("form = 'numeric'").select(key, F.explode(F.split(F.regexp_replace("citation", r"[\[\]\s]", ""), ",")).alias("part"))
+    """(key, number) of numeric citations before the list of references, ranges spelled out."""
+    body = df.withColumn(text, F.get(F.split(F.col(text), REFERENCE_HEADING), F.lit(0)))
+    groups = citations(body, key, text).filter("form = 'numeric'").select(key, F.explode(F.split(F.regexp_replace("citation", r"[\[\]\s]", ""), ",")).alias("part"))
     low = F.regexp_extract("part", r"^(\d+)", 1).try_cast("int")
     high = F.coalesce(F.nullif(F.regexp_extract("part", r"[–-](\d+)$", 1), F.lit("")).try_cast("int"), low)
     spans = groups.select(key, low.alias("a"), F.when((high >= low) & (high - low < 200), high).otherwise(low).alias("b")).filter("a is not null")
