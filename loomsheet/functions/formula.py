@@ -702,7 +702,7 @@ def text_of(x) -> Column:
     return F.coalesce(lit(x).cast("string"), F.lit(""))
 
 
-fn("ASC", 1)(lambda s: F.translate(text_of(s), "".join(map(chr, range(0xFF01, 0xFF5F))) + "　", "".join(map(chr, range(0x21, 0x7F))) + " "))
+fn("ASC", 1)(lambda s: F.translate(text_of(s), "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000", "".join(map(chr, range(0x21, 0x7F))) + " "))
 #: fixed values: characters of Windows-1252 from 128 to 159
 _CP1252 = "€\u0081‚ƒ„…†‡ˆ‰Š‹Œ\u008dŽ\u008f\u0090‘’“”•–—˜™š›œ\u009džŸ"
 

@@ -61,7 +61,7 @@ def parse_record(payload: str | None) -> dict | None:
         if not isinstance(value, str):
             break
         try:
-            value = json.loads(value.lstrip("﻿").strip())
+            value = json.loads(value.lstrip("\ufeff").strip())
         except (ValueError, RecursionError):
             return None
     if not isinstance(value, dict):
@@ -112,7 +112,7 @@ def latest_complete(raw: DataFrame) -> DataFrame:
     The JVM's strict parser tells complete payloads; the pick is an aggregate with
     map-side combine, so a record delivered very often isn't gathered in one task.
     """
-    text = F.regexp_replace(F.col("payload"), "^﻿+", "")
+    text = F.regexp_replace(F.col("payload"), "^\ufeff+", "")
     complete = F.try_parse_json(text).isNotNull() & F.col("record_id").isNotNull()
     version: Column = F.col("tool_version") if "tool_version" in raw.columns else F.lit(None).cast("string")
     at: Column = F.col("received_at") if "received_at" in raw.columns else F.lit(None).cast("timestamp")

@@ -74,7 +74,7 @@ FIELDS = ("font_size", "first_line_indent", "line_spacing", "space_before")
 COMMON = {"font_size": "halfpt", "first_line_indent": "twip", "line_spacing": "twip", "space_before": "twip"}
 ALLOWED = {"font_size": (1, 0, 0), "first_line_indent": (1, 1, 0), "line_spacing": (1, 0, 1), "space_before": (1, 0, 1)}
 
-_FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　 "
+_FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3000\u00a0"
 _HALF = "".join(chr(c) for c in range(0x21, 0x7F)) + "  "
 
 

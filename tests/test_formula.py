@@ -46,7 +46,7 @@ def test_numbers(one, name, args, expected):
     [
         ("MID", ("abc", 3, 1), ""), ("MID", ("abc", 0, 1), None), ("MID", ("abcd", 2, 2), "bc"), ("LEFT", ("a😀b", 2), "a😀"), ("RIGHT", ("abc", 0), ""), ("RIGHT", ("a😀", 1), "😀"), ("LEN", ("a😀",), 3), ("CLEAN", ("a\x07b\x85c",), "abc"), ("FIND", ("B", "abB"), 3), ("FIND", ("x", "abc"), None),
         ("SEARCH", ("b?d", "xABCD"), 3), ("SEARCH", ("z", "abc"), None), ("SUBSTITUTE", ("aaa", "aa", "b", 2), "ab"), ("SUBSTITUTE", ("abab", "b", "x", 2), "abax"), ("SUBSTITUTE", ("abc", "z", "x", 1), "abc"), ("REPT", ("ab", 20000), None), ("PROPER", ("o'neil 2nd x",), "O'Neil 2Nd X"), ("TRIM", ("  a   b ",), "a b"),
-        ("ASC", ("ＡＢ　１",), "AB 1"), ("CHAR", (128,), "€"), ("CODE", ("€",), 128), ("CHAR", (65,), "A"), ("CHAR", (300,), None), ("EXACT", ("a", "A"), False), ("DOLLAR", (-1234.5,), "($1,234.50)"), ("FIXED", (1234.567, 1, False), "1,234.6"), ("REPLACE", ("abcdef", 2, 3, "X"), "aXef"), ("TEXTJOIN", (",", True, "a", "", "b"), "a,b"), ("TEXTJOIN", (",", False, "a", "", "b"), "a,,b"),
+        ("ASC", ("ＡＢ\u3000１",), "AB 1"), ("CHAR", (128,), "€"), ("CODE", ("€",), 128), ("CHAR", (65,), "A"), ("CHAR", (300,), None), ("EXACT", ("a", "A"), False), ("DOLLAR", (-1234.5,), "($1,234.50)"), ("FIXED", (1234.567, 1, False), "1,234.6"), ("REPLACE", ("abcdef", 2, 3, "X"), "aXef"), ("TEXTJOIN", (",", True, "a", "", "b"), "a,b"), ("TEXTJOIN", (",", False, "a", "", "b"), "a,,b"),
         ("TEXT", (1234.5, "#,##0.00"), "1,234.50"), ("TEXT", (0.256, "0%"), "26%"), ("TEXT", (7, "000"), "007"), ("HYPERLINK", ("u", "label"), "label"), ("COLUMN", ("AB12",), 28), ("COLUMNS", ("B2:D9",), 3), ("ROWS", ("B2:D9",), 8), ("ROW", ("B7",), 7), ("ISREF", ("A1:B2",), True), ("ISREF", ("x",), False),
     ],
 )

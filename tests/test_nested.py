@@ -19,7 +19,7 @@ def rows(spark, *payloads):
 def test_paths_groups_and_forms(spark):
     record = {"Slides": [None, {"Index": 2, "Shapes": [{"Name": "a"}, "x", {"Type": "Group", "Shapes": json.dumps([{"Name": "b"}])}]}]}
     expected = {("slide", "1", ""), ("shape", "1.0", "1"), ("shape", "1.2", "1"), ("shape", "1.2.0", "1.2")}
-    forms = [record, json.dumps(json.dumps(record)), "﻿" + json.dumps(record), {"ok": True, "data": {"slides": record["Slides"]}}]
+    forms = [record, json.dumps(json.dumps(record)), "\ufeff" + json.dumps(record), {"ok": True, "data": {"slides": record["Slides"]}}]
     got = rows(spark, *forms)
     for i in range(len(forms)):
         assert {x[1:] for x in got if x[0] == i} == expected
