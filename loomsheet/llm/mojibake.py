@@ -39,7 +39,7 @@ OTHER_CHARGE = 16.0
 EXPANSIONS = 8
 #: bits a byte above which a piece is looked at though no byte pattern shows, and up to which a repair is plausible
 ODD, PLAUSIBLE, CLEAN = 4.2, 3.6, 2.2
-_LOST = re.compile("�|锟斤|斤拷|锟拷|ï¿½|�")
+_LOST = re.compile("\ufffd|锟斤|斤拷|锟拷|ï¿½|\ufffd")
 _ESCAPE = re.compile(r"&(?:#\d{2,6}|#x[0-9a-fA-F]{2,5}|[A-Za-z]{2,8});|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|(?:%[0-9A-Fa-f]{2}){2,}")
 #: without other signs, what garbling by codecs other than UTF-8 looks like: much that isn't ASCII, or scripts mixed in a word
 _FOREIGN = re.compile(r"[^\x00-\x7f–—‘-‟ ]{3}|[A-Za-z][Ѐ-ӿ一-鿿ｦ-ﾟ][A-Za-z]|(?:[^\x00-\x7f][\x00-\x7f]?){4}")
@@ -68,7 +68,7 @@ def _class(codec: str, low: int, high: int) -> str:
 @functools.cache
 def signs() -> re.Pattern:
     """Characters that, in one of the single-byte codecs, are the bytes of a UTF-8 sequence; built from the codecs."""
-    parts = ["[\x80-\x9f�-]"]
+    parts = ["[\x80-\x9f\ufffd\ue000-\uf8ff]"]
     for codec in SINGLE:
         tail = _class(codec, 0x80, 0xBF)
         parts.append(f"{_class(codec, 0xC2, 0xDF)}{tail}|{_class(codec, 0xE0, 0xEF)}{tail}{tail}|{_class(codec, 0xF0, 0xF4)}{tail}{{3}}")
@@ -80,7 +80,7 @@ def _unmapped(codec: str) -> dict[str, int]:
     """Control characters that stand for the bytes a single-byte codec leaves open."""
     if codec not in SINGLE:
         return {}
-    return {chr(b): b for b in range(0x80, 0xA0) if bytes([b]).decode(codec, "replace") == "�"}
+    return {chr(b): b for b in range(0x80, 0xA0) if bytes([b]).decode(codec, "replace") == "\ufffd"}
 
 
 def _encode(text: str, codec: str) -> bytes:
@@ -186,7 +186,7 @@ class Repairer:
     def costs(self, texts: list[str]) -> list[float]:
         """Bits of each text under the language that suits it best; characters that print nothing or are lost cost more."""
         bits = self.models.bits([_normal(t) for t in texts]).min(axis=1).tolist()
-        return [b + 12.0 * sum(c == "�" or "\x80" <= c <= "\x9f" or "" <= c <= "" for c in t) for b, t in zip(bits, texts, strict=True)]
+        return [b + 12.0 * sum(c == "\ufffd" or "\x80" <= c <= "\x9f" or "\ue000" <= c <= "\uf8ff" for c in t) for b, t in zip(bits, texts, strict=True)]
 
     def search(self, piece: str, cost: float) -> tuple[str, float, bool]:
         """Cheapest text reachable from a piece, its cost, and whether only UTF-8 was decoded on the way."""

@@ -32,7 +32,7 @@ from loomsheet.llm.canonical import LOOK_ALIKES
 #: rows of the bounded training sample
 SAMPLE_ROWS = 2_000
 
-BREAK = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
+BREAK = re.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 MARKER = re.compile(r"\s*-{3}.*-{3}\s*$")
 _CLOSERS = "”’\"»“」』)）\\]】〉》"
 #: a cluster of terminals with its closers, an opener or closer alone, or a blank between Thai letters
@@ -40,7 +40,7 @@ EVENT = re.compile(r"(?P<t>(?:[!?！？。।॥｡…]|\.(?!\d))+)|(?P<q>[“
 _OPEN = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』", "《": "》", "〈": "〉", "(": ")", "（": "）", "[": "]", "【": "】"}
 _SHUT = set(_OPEN.values())
 _BRACKETS = {"(", "（", "[", "【"}
-_FOLD = str.maketrans(LOOK_ALIKES | {c: None for c in "​‌‍⁠﻿­"})
+_FOLD = str.maketrans(LOOK_ALIKES | {c: None for c in "\u200b\u200c\u200d\u2060\ufeff\u00ad"})
 
 #: fixed values: abbreviations that stand before a name, a word or a number and never end a unit
 NEVER = set(
@@ -232,7 +232,7 @@ def seed_tag(parts: tuple) -> bool:
 def features(parts: tuple) -> list[str]:
     kind, before, blank, after, word, after_word, closed = parts
     shape = f"{kind}|{before}|{blank:d}|{after}|{closed}"
-    return [shape, f"a{kind}|{after}|{closed}", f"b{kind}|{before}|{after}", f"w{kind}|{word}|{after}", f"n{kind}|{after_word[:4]}|{closed[:5]}"]
+    return [f"s{seed_tag(parts):d}", shape, f"a{kind}|{after}|{closed}", f"b{kind}|{before}|{after}", f"w{kind}|{word}|{after}", f"n{kind}|{after_word[:4]}|{closed[:5]}"]
 
 
 class Model:
@@ -282,7 +282,7 @@ class Model:
         for piece in _lines(text or ""):
             line, at = piece, place
             place += len(piece)
-            line = line.rstrip("\r\n\x0b\x0c\x85  ")
+            line = line.rstrip("\r\n\x0b\x0c\x85\u2028\u2029")
             if not line.strip() or MARKER.match(line):
                 continue
             ends = [] if "\t" in line.strip() else self.decode(line)

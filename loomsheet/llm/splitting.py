@@ -29,7 +29,7 @@ _WORD = re.compile(r"\s+|(?<=[、，；：,;:])")
 
 def _mark(text: str, at: int) -> bool:
     """Whether the character at a place belongs to the one before."""
-    return at < len(text) and (unicodedata.category(text[at])[0] == "M" or text[at] in "‍‌") or text[at - 1 : at] == "‍"
+    return at < len(text) and (unicodedata.category(text[at])[0] == "M" or text[at] in "\u200d\u200c") or text[at - 1 : at] == "\u200d"
 
 
 def _cuts(text: str, a: int, b: int, level: int, model: sentences.Model) -> list[int]:
