@@ -18,6 +18,7 @@ import heapq
 import html
 import re
 import urllib.parse
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,14 +33,21 @@ RIGHT = ("utf-8", "gb18030", "cp932", "euc_jp", "big5", "cp1251", "koi8-r", "cp8
 #: pairs that give the same as another pair, or nothing that occurs: single-byte Latin text read as Latin
 _USELESS = {(w, "cp1252") for w in ("latin-1", "cp1252", "iso8859-15", "cp1250", *DOUBLE)} | {("gbk", "gb18030")} | {(c, c) for c in RIGHT} | {(d, s) for d in DOUBLE for s in ("cp1251", "koi8-r", "cp874", "cp866")}
 PAIRS = tuple((w, r) for w in SINGLE + DOUBLE for r in RIGHT if (w, r) not in _USELESS)
+#: the pairs most garbling is by, for those who need the language of a text rather than its restoration
+COMMON = tuple((w, "utf-8") for w in ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "koi8-r", "gbk")) + (
+    ("latin-1", "gb18030"), ("latin-1", "euc_jp"), ("latin-1", "cp932"), ("cp1252", "cp932"), ("latin-1", "cp874"), ("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp1252", "cp1251"), ("latin-1", "koi8-r"),
+)
 #: bits charged for an operation, and what a repair must save
 CHARGE = {"utf-8": 4.0}
 OTHER_CHARGE = 16.0
 #: expansions of the search for one piece
 EXPANSIONS = 8
+#: expansions without gain after which the search ends
+PATIENCE = 2
 #: bits a byte above which a piece is looked at though no byte pattern shows, and up to which a repair is plausible
 ODD, PLAUSIBLE, CLEAN = 4.2, 3.6, 2.2
-_LOST = re.compile("\ufffd|锟斤|斤拷|锟拷|ï¿½|\ufffd")
+LOST = re.compile("\ufffd|锟斤|斤拷|锟拷|ï¿½|\ufffd")
+_BAD = re.compile("[\\ufffd\\x80-\\x9f\\ue000-\\uf8ff]")
 _ESCAPE = re.compile(r"&(?:#\d{2,6}|#x[0-9a-fA-F]{2,5}|[A-Za-z]{2,8});|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|(?:%[0-9A-Fa-f]{2}){2,}")
 #: without other signs, what garbling by codecs other than UTF-8 looks like: much that isn't ASCII, or scripts mixed in a word
 _FOREIGN = re.compile(r"[^\x00-\x7f–—‘-‟ ]{3}|[A-Za-z][Ѐ-ӿ一-鿿ｦ-ﾟ][A-Za-z]|(?:[^\x00-\x7f][\x00-\x7f]?){4}")
@@ -71,7 +79,8 @@ def signs() -> re.Pattern:
     parts = ["[\x80-\x9f\ufffd\ue000-\uf8ff]"]
     for codec in SINGLE:
         tail = _class(codec, 0x80, 0xBF)
-        parts.append(f"{_class(codec, 0xC2, 0xDF)}{tail}|{_class(codec, 0xE0, 0xEF)}{tail}{tail}|{_class(codec, 0xF0, 0xF4)}{tail}{{3}}")
+        plain = "(?![а-яёА-ЯЁ]{2})" if codec in ("cp1251", "koi8-r", "cp866") else ""  # Russian words aren't signs
+        parts.append(f"{plain}(?:{_class(codec, 0xC2, 0xDF)}{tail}|{_class(codec, 0xE0, 0xEF)}{tail}{tail}|{_class(codec, 0xF0, 0xF4)}{tail}{{3}})")
     return re.compile("|".join(parts))
 
 
@@ -179,53 +188,63 @@ class Repairer:
 
     STORE = 100_000
 
-    def __init__(self, models: ppm.Models):
-        self.models = models
+    def __init__(self, models: ppm.Models, pairs: tuple[tuple[str, str], ...] = PAIRS, expansions: int = EXPANSIONS):
+        self.models, self.pairs, self.expansions = models, pairs, expansions
         self.known: dict[str, tuple[str, bool]] = {}
+        self.won: Counter[tuple[str, str]] = Counter()
 
     def costs(self, texts: list[str]) -> list[float]:
         """Bits of each text under the language that suits it best; characters that print nothing or are lost cost more."""
         bits = self.models.bits([_normal(t) for t in texts]).min(axis=1).tolist()
-        return [b + 12.0 * sum(c == "\ufffd" or "\x80" <= c <= "\x9f" or "\ue000" <= c <= "\uf8ff" for c in t) for b, t in zip(bits, texts, strict=True)]
+        return [b + 12.0 * len(_BAD.findall(t)) for b, t in zip(bits, texts, strict=True)]
 
     def search(self, piece: str, cost: float) -> tuple[str, float, bool]:
         """Cheapest text reachable from a piece, its cost, and whether only UTF-8 was decoded on the way."""
         best = (cost, piece, True)
         queue = [(cost, 0, 0, 0.0, True, piece)]
         visited = {hash(piece)}
-        serial = 0
-        for _ in range(EXPANSIONS):
-            if not queue:
+        serial, last, idle = 0, None, 0
+        for _ in range(self.expansions):
+            if not queue or idle >= PATIENCE:
                 break
             now, _, depth, spent, pure, text = heapq.heappop(queue)
-            if depth >= 3 or now > best[0] + 60 or best[0] < CLEAN * len(_normal(best[1])):
+            if depth >= 3 or now > best[0] + 60 or best[0] < CLEAN * len(_normal(best[1])) + 4:
                 continue
-            found: dict[str, tuple[float, bool]] = {}
-            for wrong, right in PAIRS:
-                new = _apply(text, wrong, right)
-                if new is not None and hash(new) not in visited:
-                    found[new] = min(found.get(new, (9e9, False)), (spent + CHARGE.get(right, OTHER_CHARGE), pure and right == "utf-8"))
-            if _ESCAPE.search(text):
-                new = _unescape(text)
-                if new != text and hash(new) not in visited:
-                    found[new] = (spent + 1.0, pure)
-            if not found:
-                continue
-            for (new, (charge, clean)), bits in zip(found.items(), self.costs(list(found)), strict=True):
-                visited.add(hash(new))
-                serial += 1
-                total = bits + charge
-                best = min(best, (total, new, clean))
-                heapq.heappush(queue, (total, serial, depth + 1, charge, clean, new))
+            idle += 1
+            # operations that have restored texts before come first; a clean text ends the search
+            usual = [pair for pair, _ in self.won.most_common(6)]
+            for pairs in (usual, [p for p in self.pairs if p not in usual]):
+                found: dict[str, tuple[float, bool, tuple[str, str] | None]] = {}
+                for wrong, right in pairs:
+                    new = _apply(text, wrong, right)
+                    if new is not None and hash(new) not in visited:
+                        found[new] = min(found.get(new, (9e9, False, None)), (spent + CHARGE.get(right, OTHER_CHARGE), pure and right == "utf-8", (wrong, right)), key=lambda x: x[0])
+                if pairs is not usual and _ESCAPE.search(text):
+                    new = _unescape(text)
+                    if new != text and hash(new) not in visited:
+                        found[new] = (spent + 1.0, pure, None)
+                if not found:
+                    continue
+                for (new, (charge, clean, pair)), bits in zip(found.items(), self.costs(list(found)), strict=True):
+                    visited.add(hash(new))
+                    serial += 1
+                    total = bits + charge
+                    if total < best[0]:
+                        best, last, idle = (total, new, clean), pair, 0
+                    heapq.heappush(queue, (total, serial, depth + 1, charge, clean, new))
+                if best[0] < CLEAN * len(_normal(best[1])) + 4:
+                    break
+        if last:
+            self.won[last] += 1
         return best[1], best[0], best[2]
 
     def _judge(self, piece: str, cost: float) -> tuple[str, bool]:
-        lost = bool(_LOST.search(piece))
+        lost = bool(LOST.search(piece))
         sign = bool(signs().search(piece))
         escaped = bool(_ESCAPE.search(piece))
         if lost or sign:
             outside = _QUOTED.sub("“”", piece)
-            if outside != piece and not signs().search(outside) and not _LOST.search(outside):
+            if outside != piece and not signs().search(outside) and not LOST.search(outside):
                 return piece, False  # it only quotes such characters
         if not (sign or lost or escaped):
             size = len(_normal(piece))

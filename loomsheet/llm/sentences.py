@@ -3,7 +3,7 @@
 Every character carries the tag boundary (last of its unit) or inside.  Characters that can't end a
 unit have one possible tag, so the chain is decoded over the others: clusters of closing
 punctuation, closers of quotations and brackets, and in scripts without periods the blanks between
-two letters.  Emission weights are those of a log-linear model on the context (kind of cluster, class
+two letters, or before a sentence in another script.  Emission weights are those of a log-linear model on the context (kind of cluster, class
 of the word before, blank, class of what follows, the words themselves); transitions score two
 boundaries close together; Viterbi decoding gives the best tags of a line.
 
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomsheet.llm.canonical import LOOK_ALIKES
+from loomsheet.llm.sampling import bounded
 
 #: rows of the bounded training sample
 SAMPLE_ROWS = 2_000
@@ -36,7 +37,10 @@ BREAK = re.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 MARKER = re.compile(r"\s*-{3}.*-{3}\s*$")
 _CLOSERS = "”’\"»“」』)）\\]】〉》"
 #: a cluster of terminals with its closers, an opener or closer alone, or a blank between Thai letters
-EVENT = re.compile(r"(?P<t>(?:[!?！？。।॥｡…]|\.(?!\d))+)|(?P<q>[“”„«»「」『』《》〈〉()（）\[\]【】\"])|(?P<w>(?<=[ก-๎])[^\S\t\n]+(?=[ก-๎]))")
+EVENT = re.compile(r"(?P<t>(?:[!?！？。।॥｡…]|\.(?!\d))+)|(?P<q>[“”„«»「」『』《》〈〉()（）\[\]【】\"])|(?P<w>(?<=[ก-๎])[^\S\t\n]+(?=\w))")
+_THAI = re.compile("[ก-๎]")
+#: three words of a sentence in Latin script before Thai goes on
+_LATIN = re.compile(r"(?:[A-Za-zÀ-ÿ’'-]+[\s,]+)*?(?:[a-zß-ÿ’'-]{2,}[\s,]+(?:[\w.,%°-]+[\s,]+){0,2}?){3}")
 _OPEN = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』", "《": "》", "〈": "〉", "(": ")", "（": "）", "[": "]", "【": "】"}
 _SHUT = set(_OPEN.values())
 _BRACKETS = {"(", "（", "[", "【"}
@@ -190,7 +194,11 @@ def candidates(line: str) -> list[Candidate]:
                     k += 1
             found.append(Candidate(stop, _context(line, start, stop, mark, "loose" if stop > end else "")))
         elif kind == "w":
-            found.append(Candidate(start, ("space", "any", True, "letter", "", "", "")))
+            nxt = line[end]
+            if _THAI.match(nxt):
+                found.append(Candidate(start, ("space", "any", True, "letter", "", "", "")))
+            elif nxt.isalpha() and (ord(nxt) > 0x36F or _LATIN.match(line, end)):
+                found.append(Candidate(start, ("space", "any", True, "script", "", "", "")))
         k += 1
     return [c for c in found if line[c.end :].strip()]
 
@@ -340,8 +348,7 @@ def train(texts: Iterable[str | None], rounds: int = 6, rate: float = 0.5, penal
 
 def fit(texts: DataFrame, column: str, key: str, rows: int = SAMPLE_ROWS) -> Model:
     """A model from the ``rows`` rows with the lowest hash of their key: a bounded sample, the same at every run."""
-    sample = texts.select(key, column).filter(F.col(column).isNotNull()).withColumn("_h", F.xxhash64(key)).orderBy("_h", key, column).limit(rows)
-    return train(r[column] for r in sample.select(column).collect())
+    return train(r[column] for r in bounded(texts.filter(F.col(column).isNotNull()), key, [column], rows).collect())
 
 
 UNIT_ROWS = "word_id bigint, field_name string, item_no int, sent_start int, sent_end int"
