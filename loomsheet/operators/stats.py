@@ -19,6 +19,12 @@ def describe(df: DataFrame, x: str, skip_nan: bool = True) -> DataFrame:
     )
 
 
+def describe_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Column-wise statistics of a matrix, one row a column, by one aggregate over all of them."""
+    parts = [F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.min(F.col(c).cast("double")).alias("min"), F.max(F.col(c).cast("double")).alias("max")) for c in columns]
+    return df.agg(F.array(*parts).alias("s")).select(F.explode("s").alias("r")).select("r.*")
+
+
 def at_places(df: DataFrame, x: str, places: dict[str, Column]) -> DataFrame:
     """Values at given places (from 0) of the sorted column, without sorting it in one task.
 

@@ -291,3 +291,13 @@ def append_data(df: DataFrame, more: DataFrame) -> DataFrame:
 def replace_data(df: DataFrame, new: DataFrame) -> DataFrame:
     """The new rows under the old columns."""
     return new.select(*[F.col(f"`{c}`") if c in new.columns else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns])
+
+
+def transpose(df: DataFrame, key: str) -> DataFrame:
+    """Rows and columns swapped: the values of ``key`` name the new columns, so there must be few of them."""
+    return df.transpose(key)
+
+
+def slice_rows(df: DataFrame, order: list[str], first: int, last: int) -> DataFrame:
+    """Rows ``first`` to ``last`` (from 1) in an order: what resizing a table keeps."""
+    return df.orderBy(*order).offset(first - 1).limit(last - first + 1)

@@ -43,6 +43,11 @@ class Database:
         self.tables = dict(tables or {})
         self.indexes: dict[str, tuple[str, str, bool]] = {}
         self.pragmas = dict(PRAGMAS)
+        self.sources: dict[str, Callable[..., DataFrame]] = {}
+
+    def register_source(self, name: str, read: Callable[..., DataFrame]) -> None:
+        """A system collection of one's own: ``FROM $name(arguments)`` calls ``read(spark, argument)``."""
+        self.sources["$" + name.lstrip("$")] = read
 
     # --- parsing -----------------------------------------------------------------------------------
 
@@ -77,6 +82,9 @@ class Database:
         if self.t.accept("("):
             arguments = self.p.expression()
             self.t.expect(")")
+        if name in self.sources:
+            value = None if arguments is None else arguments.value if arguments.op == "lit" else dict(zip(arguments.value, [a.value for a in arguments.args], strict=True))
+            return self.sources[name](self.spark, value)
         if name == "$cols":
             return self.spark.createDataFrame([(n, "user") for n in sorted(self.tables)], "name string, type string")
         if name == "$indexes":

@@ -118,6 +118,19 @@ def stats_anova(spark, sf_dir):
     return _round(_round(out, 0, "ss_between", "ss_within"), 5, "f").select("k", "n", "ss_between", "ss_within", "f")
 
 
+@query(
+    "SELECT 'l_quantity' AS \"column\", count(l_quantity) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS sd, min(l_quantity) AS min, max(l_quantity) AS max FROM lineitem UNION ALL SELECT 'l_tax', count(l_tax), round(avg(l_tax), 6), round(stddev_samp(l_tax), 6), min(l_tax), max(l_tax) FROM lineitem"
+)
+def stats_columns(spark, sf_dir):
+    return _round(stats.describe_columns(load(spark, sf_dir, "lineitem"), ["l_quantity", "l_tax"]), 6, "mean", "sd")
+
+
+@query("SELECT p_partkey, round(exp(-0.5 * power((p_size - 25) / 10.0, 2)) / (10 * sqrt(2 * pi())), 9) AS d FROM part")
+def stats_normal(spark, sf_dir):
+    d = stats.normal_density(F.col("p_size"), F.lit(25.0), F.lit(10.0))
+    return load(spark, sf_dir, "part").select("p_partkey", F.round(d, 9).alias("d"))
+
+
 @query()
 def stats_anova_p(spark, sf_dir):
     return stats.anova(load(spark, sf_dir, "customer"), "c_mktsegment", "c_acctbal")
@@ -203,6 +216,28 @@ def store_dangling(spark, sf_dir):
     return edges.join(_papers(spark, sf_dir).select(F.col("id").alias("target_id")), "target_id", "left_anti").select("id").distinct()
 
 
+@query("SELECT DISTINCT id, target_kind, target_id FROM relationships WHERE source_kind = 'run' AND source_id = (SELECT min(source_id) FROM relationships WHERE source_kind = 'run')")
+def store_outgoing(spark, sf_dir):
+    edges = load(spark, sf_dir, "relationships")
+    first = edges.filter("source_kind = 'run'").agg(F.min("source_id")).first()[0]
+    return store.outgoing(edges, "run", first).select("id", "target_kind", "target_id")
+
+
+@query("SELECT DISTINCT id, source_kind, source_id FROM relationships WHERE target_kind = 'document' AND target_id = (SELECT min(target_id) FROM relationships WHERE target_kind = 'document')")
+def store_incoming(spark, sf_dir):
+    edges = load(spark, sf_dir, "relationships")
+    first = edges.filter("target_kind = 'document'").agg(F.min("target_id")).first()[0]
+    return store.incoming(edges, "document", first).select("id", "source_kind", "source_id")
+
+
+@query("SELECT id FROM papers WHERE query_hash = (SELECT max(query_hash) FROM papers)")
+def store_list_papers(spark, sf_dir):
+    papers = _papers(spark, sf_dir)
+    chosen = papers.filter(F.col("query_hash") == papers.agg(F.max("query_hash")).scalar())
+    _, edges = files.literature_list(chosen, "list-1")
+    return store.list_papers(edges, papers, "list-1").select("id")
+
+
 @query("SELECT id, status, started_at FROM (SELECT DISTINCT * FROM runs) ORDER BY started_at DESC NULLS LAST, id LIMIT 50")
 def store_latest_runs(spark, sf_dir):
     return store.latest_runs(load(spark, sf_dir, "runs")).select("id", "status", "started_at")
@@ -266,6 +301,19 @@ def spatial_nearest(spark, sf_dir):
     return _round(spatial.nearest(rows, 20, 1000, 25, farthest=60).select("id", "distance"), 6, "distance")
 
 
+@query(
+    "SELECT a.id AS a_id, b.id AS b_id, (a.x0 <= b.x0 AND a.y0 <= b.y0 AND a.x1 >= b.x1 AND a.y1 >= b.y1) AS holds, round(greatest(a.x0, b.x0), 6) AS left, round(greatest(a.x1, b.x1), 6) AS right FROM (SELECT s_suppkey AS id, s_nationkey * 1.0 AS x0, 0.0 AS y0, s_nationkey + 3.0 AS x1, 2.0 AS y1 FROM supplier) a JOIN (SELECT n_nationkey AS id, n_nationkey + 0.5 AS x0, 0.5 AS y0, n_nationkey + 2.5 AS x1, 1.5 AS y1 FROM nation) b ON a.id % 25 = b.id WHERE a.x0 <= b.x1 AND a.x1 >= b.x0"
+)
+def spatial_envelopes(spark, sf_dir):
+    def box(x, w, y, h):
+        return F.struct(x.cast("double").alias("min_x"), F.lit(y).alias("min_y"), (x + w).cast("double").alias("max_x"), F.lit(h).alias("max_y"))
+
+    a = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("a_id"), box(F.col("s_nationkey"), 3.0, 0.0, 2.0).alias("a"))
+    b = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("b_id"), box(F.col("n_nationkey") + 0.5, 2.0, 0.5, 1.5).alias("b"))
+    met = a.join(b, F.col("a_id") % 25 == F.col("b_id")).filter(spatial.intersects("a", "b"))
+    return met.select("a_id", "b_id", spatial.contains("a", "b").alias("holds"), F.round(spatial.intersection("a", "b")["min_x"], 6).alias("left"), F.round(spatial.extend("a", "b")["max_x"], 6).alias("right"))
+
+
 @query()
 def spatial_hull(spark, sf_dir):
     return spatial.convex_hull(load(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity", "l_extendedprice")
@@ -420,6 +468,12 @@ def stream_windows(spark, sf_dir):
     return _round(streaming.run_once(streaming.windowed_counts(events, "ts", "event_type", late="3650 days")), 4, "total")
 
 
+@query("WITH m AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, g")
+def stream_sessions(spark, sf_dir):
+    out = streaming.sessions(streaming.event_stream(spark, sf_dir), "ts", "user_id", "6 hours", late="3650 days")
+    return streaming.run_once(out).select("user_id", "start", "n")
+
+
 @query("SELECT least(floor(value / 20), 9)::INT AS bin, count(*) AS count FROM events WHERE value BETWEEN 0 AND 200 GROUP BY 1")
 def stream_histogram(spark, sf_dir):
     return streaming.run_once(streaming.running_histogram(streaming.event_stream(spark, sf_dir), "value", 0, 200, 10))

@@ -289,3 +289,32 @@ def matrix_product(spark, sf_dir):
     a = lines.groupBy(F.col("l_suppkey").alias("i"), F.col("l_linenumber").alias("j")).agg(F.sum("l_quantity").alias("v"))
     b = lines.groupBy(F.col("l_linenumber").alias("i"), F.col("l_returnflag").alias("j")).agg(F.avg("l_tax").alias("v"))
     return tables.mmult(a, b).withColumn("v", F.round("v", 2))
+
+
+@query("SELECT 'n_regionkey' AS key, * FROM (PIVOT (SELECT n_name, n_regionkey FROM nation WHERE n_nationkey < 4) ON n_name USING first(n_regionkey))")
+def transpose_table(spark, sf_dir):
+    return tables.transpose(load(spark, sf_dir, "nation").filter("n_nationkey < 4").select("n_name", "n_regionkey"), "n_name")
+
+
+@query("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 10 OFFSET 4")
+def slice_table(spark, sf_dir):
+    return tables.slice_rows(load(spark, sf_dir, "customer").select("c_custkey", "c_name"), ["c_custkey"], 5, 14)
+
+
+@query("SELECT n_name, n_regionkey::VARCHAR AS extra FROM nation WHERE n_name LIKE '%1%' OR n_regionkey::VARCHAR LIKE '%1%'")
+def search_cells(spark, sf_dir):
+    df = load(spark, sf_dir, "nation").select("n_name", F.col("n_regionkey").cast("string").alias("extra"))
+    return tables.search_cells(df, "1")
+
+
+@query("SELECT n_nationkey AS k, n_name AS v FROM nation UNION ALL SELECT r_regionkey, NULL FROM region")
+def append_table(spark, sf_dir):
+    nations = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v"))
+    return tables.append_data(nations, load(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k")))
+
+
+@query("SELECT p_partkey, contains(f, '/') AND NOT contains(upper(f), 'IFERROR(') AS risky FROM (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '=A1/B1' WHEN p_size % 3 = 1 THEN '=IFERROR(A1/B1,0)' ELSE '=SUM(A1:A9)' END AS f FROM part)")
+def audit_formulas(spark, sf_dir):
+    f = F.expr("case when p_size % 3 = 0 then '=A1/B1' when p_size % 3 = 1 then '=IFERROR(A1/B1,0)' else '=SUM(A1:A9)' end")
+    df = load(spark, sf_dir, "part").select("p_partkey", f.alias("f"))
+    return df.select("p_partkey", tables.audit_formulas(df, "f").alias("risky"))
