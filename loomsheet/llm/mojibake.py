@@ -51,7 +51,7 @@ _BAD = re.compile("[\\ufffd\\x80-\\x9f\\ue000-\\uf8ff]")
 _ESCAPE = re.compile(r"&(?:#\d{2,6}|#x[0-9a-fA-F]{2,5}|[A-Za-z]{2,8});|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|(?:%[0-9A-Fa-f]{2}){2,}")
 #: without other signs, what garbling by codecs other than UTF-8 looks like: much that isn't ASCII, or scripts mixed in a word
 _FOREIGN = re.compile(r"[^\x00-\x7f–—‘-‟ ]{3}|[A-Za-z][Ѐ-ӿ一-鿿ｦ-ﾟ][A-Za-z]|(?:[^\x00-\x7f][\x00-\x7f]?){4}")
-_QUOTED = re.compile(r"[“„«‘「『\"'](?P<in>[^“”„«»‘’「」『』\"'\n]{1,24})[”“»’」』\"']")
+QUOTED = re.compile(r"[“„«‘「『\"'](?P<in>[^“”„«»‘’「」『』\"'\n]{1,24})[”“»’」』\"']")
 _ENDS = (". ", "! ", "? ", "। ", "。", "！", "？", "\n", "\r", "\t")
 
 
@@ -243,7 +243,7 @@ class Repairer:
         sign = bool(signs().search(piece))
         escaped = bool(_ESCAPE.search(piece))
         if lost or sign:
-            outside = _QUOTED.sub("“”", piece)
+            outside = QUOTED.sub("“”", piece)
             if outside != piece and not signs().search(outside) and not LOST.search(outside):
                 return piece, False  # it only quotes such characters
         if not (sign or lost or escaped):
