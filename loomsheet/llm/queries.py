@@ -67,13 +67,13 @@ PARAGRAPH_LIMIT, TEXT_LIMIT, OVERLAP = 1_000, 4_000, 100
 
 
 def oversized_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of the paragraphs and texts of word_texts above their limits, copies of a record once."""
+    """Pieces of the paragraphs and texts of word_texts above their limits; copies of a record give copies."""
     words = load(spark, sf_dir, "word_texts").select("word_id", "text", "paragraphs")
     model = sentences.fit(words, "text", "word_id", rows=1_000)
     texts = words.select("word_id", F.lit("text").alias("field_name"), F.lit(0).alias("item_no"), "text", F.lit(TEXT_LIMIT).alias("size_limit"))
     paragraphs = words.select("word_id", F.lit("paragraphs").alias("field_name"), F.posexplode("paragraphs").alias("item_no", "text")).withColumn("size_limit", F.lit(PARAGRAPH_LIMIT))
     items = texts.unionByName(paragraphs).filter(F.char_length("text") > F.col("size_limit")).withColumn("overlap", F.lit(OVERLAP))
-    return splitting.pieces(items.distinct(), model)
+    return splitting.pieces(items, model)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,8 +82,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pieces with their places."""
-    return oversized_pieces(spark, sf_dir)
+    """All pieces with their places, each once."""
+    return oversized_pieces(spark, sf_dir).dropDuplicates(["word_id", "field_name", "item_no", "piece_no", "piece_end"])
 
 
 def sized_documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

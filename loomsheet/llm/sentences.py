@@ -61,6 +61,7 @@ MAYBE_PAIRS = {("т", "д"), ("т", "п"), ("и", "др"), ("s", "o"), ("s", "u"
 UNIT = set("g kg mg µg μg ng t h s min d a m mm cm km µm nm l ml µl v w kw j k c f hz mol г кг мг ч м мм см км с мин сут л мл т".split())
 NEVER, BEFORE_NUMBER, MAYBE, UNIT = ({x.translate(_FOLD) for x in group} for group in (NEVER, BEFORE_NUMBER, MAYBE, UNIT))
 MAYBE_PAIRS = {(a.translate(_FOLD), b.translate(_FOLD)) for a, b in MAYBE_PAIRS}
+_ABBREVIATED = NEVER | BEFORE_NUMBER
 #: fixed values: units of measure written with a capital
 CAPITAL_UNIT = set("A V W K J C F N L".split())
 #: fixed values: months that follow a day written as a number with a period
@@ -131,10 +132,14 @@ def _context(line: str, start: int, end: int, mark: str, closed: str) -> tuple:
     head = line[max(0, start - 40) : start].translate(_FOLD)
     words = head.split()
     word = words[-1].lstrip("([{（«“„\"'‘—–") if words and not head[-1:].isspace() else ""
+    word = re.split("[。！？，；：、]", word)[-1]
+    tail = word.rpartition(".")[2]
+    if tail != word and tail.lower() in _ABBREVIATED and (len(word) - len(tail) > 3 or len(tail) > 2):
+        word = tail  # a unit ended before it without a blank
     before = words[-2].lstrip("([{（«“„\"'") if len(words) > 1 and word else ""
-    tail = line[end : end + 24].translate(_FOLD)
-    rest = tail.lstrip()
-    blank = len(rest) < len(tail)
+    following = line[end : end + 24].translate(_FOLD)
+    rest = following.lstrip()
+    blank = len(rest) < len(following)
     after_word = re.match(r"\w*", rest).group()[:12]
     if mark.strip("…") == "":
         kind = "dots"
