@@ -72,7 +72,7 @@ def sequence(col: Column, kind: str = "unknown") -> Val:
 
 @register("COUNT", 1)
 def _count(v: Val) -> Val:
-    return scalar(F.count(F.lit(1)) if v.shape == "src" else F.coalesce(F.size(v.seq()), F.lit(0)), "int64")
+    return scalar(F.count(F.lit(1)) if v.shape == "src" else F.coalesce(F.size(v.seq()), F.lit(0)).cast("bigint"), "int64")
 
 
 @register("MIN", 1)
@@ -304,7 +304,7 @@ def _dateadd(unit: Val, number: Val, value: Val) -> Val:
 
 @register("DATEDIFF", 3)
 def _datediff(unit: Val, start: Val, end: Val) -> Val:
-    return scalar(F.timestamp_diff(_unit(unit), start.col, end.col), "int32")
+    return scalar(F.timestamp_diff(_unit(unit), start.col, end.col).cast("int"), "int32")
 
 
 @register("TO_LOCAL", 1)

@@ -302,7 +302,7 @@ def spatial_nearest(spark, sf_dir):
 
 
 @query(
-    "SELECT a.id AS a_id, b.id AS b_id, (a.x0 <= b.x0 AND a.y0 <= b.y0 AND a.x1 >= b.x1 AND a.y1 >= b.y1) AS holds, round(greatest(a.x0, b.x0), 6) AS left, round(greatest(a.x1, b.x1), 6) AS right FROM (SELECT s_suppkey AS id, s_nationkey * 1.0 AS x0, 0.0 AS y0, s_nationkey + 3.0 AS x1, 2.0 AS y1 FROM supplier) a JOIN (SELECT n_nationkey AS id, n_nationkey + 0.5 AS x0, 0.5 AS y0, n_nationkey + 2.5 AS x1, 1.5 AS y1 FROM nation) b ON a.id % 25 = b.id WHERE a.x0 <= b.x1 AND a.x1 >= b.x0"
+    "SELECT a.id AS a_id, b.id AS b_id, (a.x0 <= b.x0 AND a.y0 <= b.y0 AND a.x1 >= b.x1 AND a.y1 >= b.y1) AS holds, greatest(a.x0, b.x0)::DOUBLE AS left, greatest(a.x1, b.x1)::DOUBLE AS right FROM (SELECT s_suppkey AS id, s_nationkey * 1.0 AS x0, 0.0 AS y0, s_nationkey + 3.0 AS x1, 2.0 AS y1 FROM supplier) a JOIN (SELECT n_nationkey AS id, n_nationkey + 0.5 AS x0, 0.5 AS y0, n_nationkey + 2.5 AS x1, 1.5 AS y1 FROM nation) b ON a.id % 25 = b.id WHERE a.x0 <= b.x1 AND a.x1 >= b.x0"
 )
 def spatial_envelopes(spark, sf_dir):
     def box(x, w, y, h):
@@ -327,7 +327,9 @@ def _links(spark, sf_dir):
     return edges
 
 
-@query()
+@query(
+    "WITH RECURSIVE e AS (SELECT DISTINCT source_kind || ':' || source_id AS a, target_kind || ':' || target_id AS b FROM relationships WHERE source_kind || ':' || source_id <> target_kind || ':' || target_id), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(v, c) AS (SELECT a, a FROM u UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.v) SELECT v AS vertex, min(c) AS component FROM r GROUP BY 1"
+)
 def graph_components(spark, sf_dir):
     return graph.components(_links(spark, sf_dir))
 
@@ -454,7 +456,9 @@ def export_markdown(spark, sf_dir):
     return files.export_markdown(_papers(spark, sf_dir))
 
 
-@query()
+@query(
+    "SELECT id, '@article{' || id || ',' || chr(10) || concat_ws(',' || chr(10), CASE WHEN coalesce(title, '') <> '' THEN '  title = {' || title || '}' END, CASE WHEN coalesce(authors, '') <> '' THEN '  author = {' || authors || '}' END, CASE WHEN coalesce(journal, '') <> '' THEN '  journal = {' || journal || '}' END, CASE WHEN pub_year IS NOT NULL THEN '  year = {' || pub_year || '}' END, CASE WHEN coalesce(normalized_doi, '') <> '' THEN '  doi = {' || normalized_doi || '}' END) || chr(10) || '}' AS value FROM papers"
+)
 def export_bibtex(spark, sf_dir):
     return files.export_bibtex(_papers(spark, sf_dir))
 
@@ -462,13 +466,13 @@ def export_bibtex(spark, sf_dir):
 # --- streams -----------------------------------------------------------------------------------------
 
 
-@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+@query("SELECT date_trunc('day', ts)::TIMESTAMPTZ AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_windows(spark, sf_dir):
     events = streaming.event_stream(spark, sf_dir)
     return _round(streaming.run_once(streaming.windowed_counts(events, "ts", "event_type", late="3650 days")), 4, "total")
 
 
-@query("WITH m AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, g")
+@query("WITH m AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT user_id, min(ts)::TIMESTAMPTZ AS start, count(*) AS n FROM s GROUP BY user_id, g")
 def stream_sessions(spark, sf_dir):
     out = streaming.sessions(streaming.event_stream(spark, sf_dir), "ts", "user_id", "6 hours", late="3650 days")
     return streaming.run_once(out).select("user_id", "start", "n")
@@ -479,6 +483,8 @@ def stream_histogram(spark, sf_dir):
     return streaming.run_once(streaming.running_histogram(streaming.event_stream(spark, sf_dir), "value", 0, 200, 10))
 
 
-@query()
+@query(
+    "SELECT user_id AS key, least(count(value), 10)::INT AS size, min(value) FILTER (r <= 10) AS lo, max(value) FILTER (r <= 10) AS hi, min(value) AS all_lo, max(value) AS all_hi FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, value DESC) AS r FROM events WHERE value IS NOT NULL) GROUP BY 1"
+)
 def stream_ring_buffer(spark, sf_dir):
     return streaming.run_once(streaming.ring_buffer(streaming.event_stream(spark, sf_dir), "user_id", "ts", "value", 10), "update", ["key"])

@@ -137,7 +137,7 @@ docsql(
 docsql(
     "docfn_ids",
     "SELECT { id: OBJECTID(id), bad: OBJECTID('zz'), at: OID_CREATIONTIME(id) } FROM registered_files",
-    "SELECT id, CAST(NULL AS VARCHAR) AS bad, to_timestamp(('0x' || substr(id, 1, 8))::BIGINT) AT TIME ZONE 'UTC' AS at FROM registered_files",
+    "SELECT id, CAST(NULL AS VARCHAR) AS bad, to_timestamp(('0x' || substr(id, 1, 8))::BIGINT) AS at FROM registered_files",
 )
 docsql(
     "docfn_first_last",

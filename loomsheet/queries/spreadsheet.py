@@ -132,7 +132,7 @@ def formula_roman(spark, sf_dir):
 SQL["formula_roman"] = """SELECT p_partkey, concat(repeat('M', (n // 1000)::INT), [ '', 'C','CC','CCC','CD','D','DC','DCC','DCCC','CM'][n // 100 % 10 + 1], ['', 'X','XX','XXX','XL','L','LX','LXX','LXXX','XC'][n // 10 % 10 + 1], ['', 'I','II','III','IV','V','VI','VII','VIII','IX'][n % 10 + 1]) AS roman, n::INT AS arabic FROM (SELECT p_partkey, p_partkey % 4000 AS n FROM part)"""
 
 
-@query("SELECT l_orderkey AS k, l_linenumber AS n, round(CASE l_linenumber WHEN 1 THEN 0.25 WHEN 2 THEN 0.0625 ELSE 0 END, 9) AS mass FROM lineitem WHERE l_linenumber <= 2")
+@query("SELECT l_orderkey AS k, l_linenumber AS n, (CASE l_linenumber WHEN 1 THEN 0.25 WHEN 2 THEN 0.0625 ELSE 0 END)::DOUBLE AS mass FROM lineitem WHERE l_linenumber <= 2")
 def formula_binomial(spark, sf_dir):
     n = F.col("l_linenumber")
     return load(spark, sf_dir, "lineitem").filter("l_linenumber <= 2").select(F.col("l_orderkey").alias("k"), n.alias("n"), _r(fx("BINOM.DIST", F.lit(0), n, 0.75, False)).alias("mass"))

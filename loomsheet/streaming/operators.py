@@ -48,7 +48,10 @@ def ring_buffer(events: DataFrame, by: str, ts: str, x: str, n: int) -> DataFram
     def update(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept: list[float] = list(state.get[0]) if state.exists else []
         low, high = (state.get[1], state.get[2]) if state.exists else (None, None)
-        rows = pd.concat(list(batches)).sort_values([ts, x])
+        parts = [b for b in batches if len(b)]
+        if not parts:
+            return
+        rows = pd.concat(parts).sort_values([ts, x])
         for value in rows[x]:
             if value is None or value != value:
                 continue
@@ -57,7 +60,8 @@ def ring_buffer(events: DataFrame, by: str, ts: str, x: str, n: int) -> DataFram
             high = float(value) if high is None else max(high, float(value))
         kept = kept[-n:]
         state.update((kept, low, high))
-        made: dict[str, list[Any]] = {"key": [key[0]], "size": [len(kept)], "lo": [min(kept, default=None)], "hi": [max(kept, default=None)], "all_lo": [low], "all_hi": [high]}
+        numbers: list[Any] = [min(kept, default=None), max(kept, default=None), low, high]
+        made = {"key": [key[0]], "size": [len(kept)]} | {n: pd.Series([x], dtype="float64") for n, x in zip(("lo", "hi", "all_lo", "all_hi"), numbers, strict=True)}
         yield pd.DataFrame(made)
 
     schema = f"key {kind}, size int, lo double, hi double, all_lo double, all_hi double"
