@@ -11,7 +11,7 @@ from loomsheet.plans.expressions import Builder, parse
 
 
 def _condition(df: DataFrame, text: str, parameters: dict | None = None) -> Column:
-    return F.coalesce(Builder(df, parameters).build(parse(text)).col, F.lit(False))
+    return Builder(df, parameters).build(parse(text)).col
 
 
 class Predicate:

@@ -32,7 +32,7 @@ def custom_filter(x: str, op: str, value) -> Column:
     c = F.col(x)
     if op in ("gt", "lt", "ge", "le"):
         test = {"gt": c > value, "lt": c < value, "ge": c >= value, "le": c <= value}[op]
-        return F.coalesce(test, F.lit(False))
+        return c.isNotNull() & test  # never null, and still pushed to the scan
     if op.startswith("not_"):
         return ~custom_filter(x, op[4:], value)
     if op == "ne":

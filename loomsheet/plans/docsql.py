@@ -136,7 +136,7 @@ class Database:
             node = p.expression()
             if _aggregates(node):
                 raise ValueError("WHERE looks at one document at a time")
-            df = df.filter(F.coalesce(self._build(df, node).col, F.lit(False)))
+            df = df.filter(self._build(df, node).col)  # bare, so that it reaches the scan
         group = having = None
         if t.accept("GROUP"):
             t.expect("BY")

@@ -48,6 +48,11 @@ def test_notes():
     assert units.parse_note(None) == units.parse_note("待核对") == {}
 
 
+def test_very_long_texts(spark):
+    long = "9" * 200_000
+    assert found(spark, (None, None, long, "x" * 200_000, "1 " * 100_000, "12pt" + " " * 100_000)) == {(0, "space_before"): 240}
+
+
 def test_copies_and_empty(spark):
     assert len(found(spark, (None, None, "12pt", None, None, None))) == 1
     assert found(spark) == {}
