@@ -140,7 +140,7 @@ class Models:
             all_escapes.append(np.zeros(code.shape, np.float32))
             shorter_keys, shorter = keys, code
             if n == 1:
-                root = escape[0]
+                root = escape[0] if len(escape) else np.zeros(width)
         # row 0: a byte never seen; the escapes of the empty context go with it
         codes = np.concatenate([np.asarray([root + 8.0], np.float32), *all_codes])
         escapes = np.concatenate([np.zeros((1, width), np.float32), *all_escapes])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomsheet.llm import canonical, language, mixing, mojibake, packing, sentences, splitting, tokens
+from loomsheet.llm.sampling import spread
 from loomsheet.session import load
 
 
@@ -33,7 +34,7 @@ def record_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main language and segments of every record, with confidence."""
     models = language.fit(load(spark, sf_dir, "documents"), "doc_id")
     units = sentences.fit(load(spark, sf_dir, "word_texts"), "text", "word_id", rows=1_000)
-    return language.language_rows(labelled_records(spark, sf_dir), models, units)
+    return language.language_rows(spread(labelled_records(spark, sf_dir)), models, units)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +61,7 @@ def sentence_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence units of the texts and footnotes of word_texts."""
     model = sentences.fit(load(spark, sf_dir, "word_texts"), "text", "word_id")
-    return sentences.unit_rows(sentence_items(spark, sf_dir), model).distinct()
+    return sentences.unit_rows(spread(sentence_items(spark, sf_dir)), model).distinct()
 
 
 PARAGRAPH_LIMIT, TEXT_LIMIT, OVERLAP = 1_000, 4_000, 100
@@ -87,7 +88,7 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sized_documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return tokens.with_tokens(load(spark, sf_dir, "documents").select("doc_id", *columns, "text"))
+    return tokens.with_tokens(spread(load(spark, sf_dir, "documents").select("doc_id", *columns, "text")))
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +120,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def repaired_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = load(spark, sf_dir, "documents")
-    return mojibake.repaired_rows(documents, language.fit(documents, "doc_id"))
+    return mojibake.repaired_rows(spread(documents.select("doc_id", "text")), language.fit(documents, "doc_id"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

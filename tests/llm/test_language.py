@@ -99,6 +99,12 @@ def test_rows(spark, models):
     assert language.language_rows(df.limit(0), models, sentences.Model({}, 0.0)).count() == 0
 
 
+def test_training_on_little():
+    for rows in ([], [(None, "x"), ("en", None), ("en", ""), ("zz", "abc def")], [("en", "Only one row here with a sentence.")]):
+        found = language.analyse([["Only one row here."], [""]], language.Identifier(language.train(rows)), sentences.Model({}, 0.0))
+        assert found[1][0] == -1 and len(found) == 2
+
+
 def test_garbled_rows_are_restored_first(models):
     rng = random.Random(4)
     text = sentence("ru", rng) + " " + sentence("ru", rng)
