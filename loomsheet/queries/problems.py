@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomsheet.operators import nested, units
 from loomsheet.session import load
@@ -13,11 +14,29 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.tagged_rows(load(spark, sf_dir, "raw_records")).select("record_id", "entity", "parent_path", "node_path")
 
 
+def p1_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat table of shapes with its schema."""
+    return nested.apply_schema(nested.tagged_rows(load(spark, sf_dir, "raw_records")), "shape")
+
+
+def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each table by the table of their parent; a parent is found by (record_id, path)."""
+    rows = nested.tagged_rows(load(spark, sf_dir, "raw_records")).select("record_id", "entity", "node_path", "parent_path")
+    parents = rows.select("record_id", F.col("node_path").alias("parent_path"), F.col("entity").alias("parent")).filter("parent <> 'quality_issue'")
+    return rows.join(parents, ["record_id", "parent_path"], "left").groupBy("entity", "parent").agg(F.count("*").alias("n"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values stated in another than the common unit, in the common unit."""
     found = units.common_values(load(spark, sf_dir, "format_infos"), load(spark, sf_dir, "format_sources"))
     return found.select("format_id", "field_name", "common_value").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p6_found": p6_found}
+def p6_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values by field and by the unit they are stated in, with the range of their common values."""
+    found = units.common_values(load(spark, sf_dir, "format_infos"), load(spark, sf_dir, "format_sources"))
+    return found.distinct().groupBy("field_name", "unit").agg(F.count("*").alias("n"), F.min("common_value").alias("least"), F.max("common_value").alias("most"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_shapes, p1_links, p6_found, p6_units)}
 SQL: dict[str, str] = {}
