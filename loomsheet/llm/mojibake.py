@@ -127,22 +127,51 @@ def _double_runs(text: str, codec: str) -> list[str]:
     return out
 
 
-def _apply(text: str, wrong: str, right: str) -> str | None:
-    """The piece with its runs re-decoded; None where nothing comes of it. Characters the codec lacks part the runs."""
+@functools.cache
+def _characters(codec: str) -> frozenset[str]:
+    """Characters beyond ASCII that a single-byte codec has."""
+    return frozenset(c for b in range(0x80, 0x100) if (c := bytes([b]).decode(codec, "replace")) != "\ufffd") | frozenset(_unmapped(codec))
+
+
+def _bytes(part: str, codec: str) -> bytes | None:
+    """Bytes of a run, or None where a codec takes its characters one by one but not together."""
+    try:
+        return _encode(part, codec)
+    except UnicodeError:
+        return None
 
-    def redo(part: str) -> str:
-        if part.isascii():
-            return part
-        try:
-            return _decode(_encode(part, wrong), right, wrong) or part
-        except UnicodeError:
-            return part
 
+def _encoded(text: str, wrong: str) -> list[tuple[str, bytes | None]]:
+    """A piece as runs of characters the codec has, with their bytes, and the rest without."""
+    out: list[tuple[str, bytes | None]] = []
     if wrong in SINGLE:
-        new = _runs(wrong).sub(lambda m: redo(m.group()), text)
-    else:
-        new = "".join(map(redo, _double_runs(text, wrong)))
-    return new if new != text else None
+        beyond = {c for c in text if c > "\x7f"}
+        if 5 * len(beyond & _characters(wrong)) < len(beyond):
+            return out  # hardly any of it can come from this codec
+        place = 0
+        for m in _runs(wrong).finditer(text):
+            out.append((text[place : m.start()], None))
+            out.append((m.group(), None if m.group().isascii() else _bytes(m.group(), wrong)))
+            place = m.end()
+        out.append((text[place:], None))
+        return out
+    for part in _double_runs(text, wrong):
+        if part.isascii() or not _has(wrong, part[0]):
+            out.append((part, None))
+        else:
+            out.append((part, _bytes(part, wrong)))
+    return out
+
+
+def _apply(runs: list[tuple[str, bytes | None]], wrong: str, right: str) -> str | None:
+    """The piece with its runs decoded by another codec; None where nothing comes of it."""
+    changed = False
+    out = []
+    for part, data in runs:
+        new = _decode(data, right, wrong) if data is not None else None
+        changed |= new is not None and new != part
+        out.append(part if new is None else new)
+    return "".join(out) if changed else None
 
 
 _UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}|[\x00-\x7f])+")
@@ -212,11 +241,14 @@ class Repairer:
                 continue
             idle += 1
             # operations that have restored texts before come first; a clean text ends the search
+            runs: dict[str, list[tuple[str, bytes | None]]] = {}
             usual = [pair for pair, _ in self.won.most_common(6)]
             for pairs in (usual, [p for p in self.pairs if p not in usual]):
                 found: dict[str, tuple[float, bool, tuple[str, str] | None]] = {}
                 for wrong, right in pairs:
-                    new = _apply(text, wrong, right)
+                    if wrong not in runs:
+                        runs[wrong] = _encoded(text, wrong)
+                    new = _apply(runs[wrong], wrong, right) if runs[wrong] else None
                     if new is not None and hash(new) not in visited:
                         found[new] = min(found.get(new, (9e9, False, None)), (spent + CHARGE.get(right, OTHER_CHARGE), pure and right == "utf-8", (wrong, right)), key=lambda x: x[0])
                 if pairs is not usual and _ESCAPE.search(text):
