@@ -212,6 +212,18 @@ def _normal(text: str) -> bytes:
     return text.encode("utf-8", "replace")
 
 
+def _changed(old: str, new: str) -> tuple[str, str]:
+    """What differs of two texts: without their common start and end."""
+    least = min(len(old), len(new))
+    a = 0
+    while a < least and old[a] == new[a]:
+        a += 1
+    b = 0
+    while b < least - a and old[-1 - b] == new[-1 - b]:
+        b += 1
+    return old[a : len(old) - b], new[a : len(new) - b]
+
+
 class Repairer:
     """Finds and repairs pieces; equal pieces are worked on once per worker within a bounded store."""
 
@@ -227,6 +239,13 @@ class Repairer:
         bits = self.models.bits([_normal(t) for t in texts]).min(axis=1).tolist()
         return [b + 12.0 * len(_BAD.findall(t)) for b, t in zip(bits, texts, strict=True)]
 
+    def _settled(self, piece: str, text: str) -> bool:
+        """Whether a piece is restored: no sign is left, and what changed is clean by itself, whatever stands around it."""
+        if text == piece or signs().search(text) or LOST.search(text) or _ESCAPE.search(text):
+            return False
+        new = _changed(piece, text)[1]
+        return self.costs([new])[0] < CLEAN * len(_normal(new)) + 4
+
     def search(self, piece: str, cost: float) -> tuple[str, float, bool]:
         """Cheapest text reachable from a piece, its cost, and whether only UTF-8 was decoded on the way."""
         best = (cost, piece, True)
@@ -237,10 +256,10 @@ class Repairer:
             if not queue or idle >= PATIENCE:
                 break
             now, _, depth, spent, pure, text = heapq.heappop(queue)
-            if depth >= 3 or now > best[0] + 60 or best[0] < CLEAN * len(_normal(best[1])) + 4:
-                continue
+            if depth >= 3 or now > best[0] + 60 or (depth and self._settled(piece, best[1])):
+                continue  # the piece itself is always expanded: whoever asks has seen a sign in it
             idle += 1
-            # operations that have restored texts before come first; a clean text ends the search
+            # operations that have restored texts before come first; a settled text ends the search
             runs: dict[str, list[tuple[str, bytes | None]]] = {}
             usual = [pair for pair, _ in self.won.most_common(6)]
             for pairs in (usual, [p for p in self.pairs if p not in usual]):
@@ -264,7 +283,7 @@ class Repairer:
                     if total < best[0]:
                         best, last, idle = (total, new, clean), pair, 0
                     heapq.heappush(queue, (total, serial, depth + 1, charge, clean, new))
-                if best[0] < CLEAN * len(_normal(best[1])) + 4:
+                if self._settled(piece, best[1]):
                     break
         if last:
             self.won[last] += 1
@@ -288,14 +307,9 @@ class Repairer:
         if pure and cost - now > 6:
             return text, True
         # no strict code vouches for it: what changed must turn into plausible text
-        a = 0
-        while a < min(len(text), len(piece)) and text[a] == piece[a]:
-            a += 1
-        b = 0
-        while b < min(len(text), len(piece)) - a and text[-1 - b] == piece[-1 - b]:
-            b += 1
-        old, new = self.costs([piece[a : len(piece) - b], text[a : len(text) - b]])
-        size = len(_normal(text[a : len(text) - b]))
+        spans = _changed(piece, text)
+        old, new = self.costs(list(spans))
+        size = len(_normal(spans[1]))
         return (text, True) if old - new > 40 and new < 0.7 * old and new < PLAUSIBLE * size + 10 else (piece, lost)
 
     def learn(self, pieces: list[str]) -> None:
