@@ -127,12 +127,6 @@ def _double_runs(text: str, codec: str) -> list[str]:
     return out
 
 
-@functools.cache
-def _characters(codec: str) -> frozenset[str]:
-    """Characters beyond ASCII that a single-byte codec has."""
-    return frozenset(c for b in range(0x80, 0x100) if (c := bytes([b]).decode(codec, "replace")) != "\ufffd") | frozenset(_unmapped(codec))
-
-
 def _bytes(part: str, codec: str) -> bytes | None:
     """Bytes of a run, or None where a codec takes its characters one by one but not together."""
     try:
@@ -145,9 +139,6 @@ def _encoded(text: str, wrong: str) -> list[tuple[str, bytes | None]]:
     """A piece as runs of characters the codec has, with their bytes, and the rest without."""
     out: list[tuple[str, bytes | None]] = []
     if wrong in SINGLE:
-        beyond = {c for c in text if c > "\x7f"}
-        if 5 * len(beyond & _characters(wrong)) < len(beyond):
-            return out  # hardly any of it can come from this codec
         place = 0
         for m in _runs(wrong).finditer(text):
             out.append((text[place : m.start()], None))
@@ -174,7 +165,11 @@ def _apply(runs: list[tuple[str, bytes | None]], wrong: str, right: str) -> str
     return "".join(out) if changed else None
 
 
-_UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}|[\x00-\x7f])+")
+_SEQUENCES = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+")
+_UTF8 = re.compile(rb"(?:" + _SEQUENCES.pattern + rb"|[\x00-\x7f])+")
+_RUSSIAN = re.compile("[а-яёА-ЯЁ]{2}")
+#: a letter of Latin beside one of Cyrillic or a later alphabet (not Greek: units)
+_MIXED = re.compile("[A-Za-z\u00c0-\u024f][\u0400-\u1dff]|[\u0400-\u1dff][A-Za-z\u00c0-\u024f]")
 
 
 def _decode(data: bytes, right: str, wrong: str) -> str | None:
@@ -183,14 +178,19 @@ def _decode(data: bytes, right: str, wrong: str) -> str | None:
     except UnicodeDecodeError:
         if right != "utf-8":
             return None
-    # sequences with lost bytes stay what they were, where most others are whole
-    whole = sum(b > 0x7F for m in _UTF8.finditer(data) for b in m.group())
-    if whole < 0.6 * sum(b > 0x7F for b in data):
-        return None
+    # what isn't in a whole sequence stays what it was: sequences with lost bytes, and intact characters
+    few = sum(map(len, _SEQUENCES.findall(data))) < 0.6 * sum(b > 0x7F for b in data)
+    if few and wrong not in SINGLE:
+        return None  # intact characters of two bytes are full of sequences by chance
     out, place = [], 0
     try:
-        for m in _UTF8.finditer(data):
-            out.append(data[place : m.start()].decode(wrong, "replace") + m.group().decode("utf-8"))
+        for m in (_SEQUENCES if few else _UTF8).finditer(data):
+            new = m.group().decode("utf-8")
+            if few and _RUSSIAN.match(m.group().decode(wrong, "replace")):
+                continue  # letters of intact words, as in signs()
+            if few and _MIXED.search(data[: m.start()][-1:].decode(wrong, "replace") + new + data[m.end() : m.end() + 1].decode(wrong, "replace")):
+                continue  # a sequence by chance in an intact word
+            out.append(data[place : m.start()].decode(wrong, "replace") + new)
             place = m.end()
     except UnicodeDecodeError:
         return None
@@ -239,12 +239,14 @@ class Repairer:
         bits = self.models.bits([_normal(t) for t in texts]).min(axis=1).tolist()
         return [b + 12.0 * len(_BAD.findall(t)) for b, t in zip(bits, texts, strict=True)]
 
-    def _settled(self, piece: str, text: str) -> bool:
-        """Whether a piece is restored: no sign is left, and what changed is clean by itself, whatever stands around it."""
+    def _settled(self, piece: str, cost: float, text: str, strict: bool) -> bool:
+        """Whether a piece is restored: no sign is left, and what changed is clean by itself; by strict UTF-8, plausible or in a clean text."""
         if text == piece or signs().search(text) or LOST.search(text) or _ESCAPE.search(text):
             return False
+        if strict and cost < CLEAN * len(_normal(text)) + 4:
+            return True  # other codecs could only bend it towards the language around
         new = _changed(piece, text)[1]
-        return self.costs([new])[0] < CLEAN * len(_normal(new)) + 4
+        return self.costs([new])[0] < (PLAUSIBLE * len(_normal(new)) + 10 if strict else CLEAN * len(_normal(new)) + 4)
 
     def search(self, piece: str, cost: float) -> tuple[str, float, bool]:
         """Cheapest text reachable from a piece, its cost, and whether only UTF-8 was decoded on the way."""
@@ -256,7 +258,7 @@ class Repairer:
             if not queue or idle >= PATIENCE:
                 break
             now, _, depth, spent, pure, text = heapq.heappop(queue)
-            if depth >= 3 or now > best[0] + 60 or (depth and self._settled(piece, best[1])):
+            if depth >= 3 or now > best[0] + 60 or (depth and self._settled(piece, *best)):
                 continue  # the piece itself is always expanded: whoever asks has seen a sign in it
             idle += 1
             # operations that have restored texts before come first; a settled text ends the search
@@ -283,7 +285,7 @@ class Repairer:
                     if total < best[0]:
                         best, last, idle = (total, new, clean), pair, 0
                     heapq.heappush(queue, (total, serial, depth + 1, charge, clean, new))
-                if self._settled(piece, best[1]):
+                if self._settled(piece, best[0], best[1], False):
                     break
         if last:
             self.won[last] += 1
