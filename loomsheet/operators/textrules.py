@@ -50,21 +50,36 @@ def citations(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def unmatched(cited: DataFrame, listed: DataFrame, most: int = 8) -> DataFrame:
-    """(side, number): numbers cited but not listed, and listed but not cited, the first ones of each."""
-    a, b = cited.select("number").distinct(), listed.select("number").distinct()
-    only_a = a.join(b, "number", "left_anti").orderBy("number").limit(most).select(F.lit("cited").alias("side"), "number")
-    only_b = b.join(a, "number", "left_anti").orderBy("number").limit(most).select(F.lit("listed").alias("side"), "number")
-    return only_a.unionByName(only_b)
-
-
-def cited_numbers(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, number) of numeric citations before the list of references, ranges spelled out."""
+    """(side, key, number): numbers a text cites but doesn't list, and lists but doesn't cite, the first ones of each text and side.
+
+    ``cited`` has the key first, then ``number`` or the ends ``a`` and ``b`` of ranges.  Of a range no more is
+    spelled out than its first ``most`` unlisted numbers can need.
+    """
+    key = cited.columns[0]
+    spans = (cited.select(key, F.col("number").alias("a"), F.col("number").alias("b")) if "number" in cited.columns else cited.select(key, "a", "b")).distinct()
+    entries = listed.select(key, "number").distinct()
+    sizes = entries.groupBy(key).agg(F.count("*").alias("n"))
+    last = F.least(F.col("b").cast("bigint"), F.col("a").cast("bigint") + F.coalesce("n", F.lit(0)) + most - 1)
+    numbers = spans.join(sizes, key, "left").select(key, F.explode(F.sequence(F.col("a").cast("bigint"), last)).alias("number")).withColumn("number", F.col("number").cast("int")).distinct()
+    within = entries.join(spans, key).filter("number between a and b").select(key, "number").distinct()
+    both = numbers.join(entries, [key, "number"], "left_anti").select(F.lit("cited").alias("side"), key, "number").unionByName(entries.join(within, [key, "number"], "left_anti").select(F.lit("listed").alias("side"), key, "number"))
+    w = Window.partitionBy("side", key).orderBy("number")
+    return both.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).drop("_r")
+
+
+def cited_spans(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, a, b) of numeric citations before the list of references: ends of ranges, equal for single numbers."""
     body = df.withColumn(text, F.get(F.split(F.col(text), REFERENCE_HEADING), F.lit(0)))
     groups = citations(body, key, text).filter("form = 'numeric'").select(key, F.explode(F.split(F.regexp_replace("citation", r"[\[\]\s]", ""), ",")).alias("part"))
     low = F.regexp_extract("part", r"^(\d+)", 1).try_cast("int")
     high = F.coalesce(F.nullif(F.regexp_extract("part", r"[–-](\d+)$", 1), F.lit("")).try_cast("int"), low)
-    spans = groups.select(key, low.alias("a"), F.when((high >= low) & (high - low < 200), high).otherwise(low).alias("b")).filter("a is not null")
-    return spans.select(key, F.explode(F.sequence("a", "b")).alias("number")).distinct()
+    return groups.select(key, low.alias("a"), F.greatest(low, high).alias("b")).filter("a is not null")
+
+
+def cited_numbers(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, number) of numeric citations before the list of references, ranges of any length spelled out."""
+    blocks = cited_spans(df, key, text).select(key, F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).select(key, "b", F.explode(F.sequence("a", "b", F.lit(1_000).cast("bigint"))).alias("a"))
+    return blocks.select(key, F.explode(F.sequence("a", F.least("b", F.col("a") + 999))).alias("number")).withColumn("number", F.col("number").cast("int")).distinct()
 
 
 #: checks of the chain of evidence: name -> any of these words

@@ -400,7 +400,7 @@ def text_references(spark, sf_dir):
 @query()
 def text_unmatched(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
-    return textrules.unmatched(textrules.cited_numbers(docs, "doc_id", "text"), textrules.references(docs, "doc_id", "text"))
+    return textrules.unmatched(textrules.cited_spans(docs, "doc_id", "text"), textrules.references(docs, "doc_id", "text"))
 
 
 @query()

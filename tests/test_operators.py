@@ -178,6 +178,15 @@ def test_text_rules(spark):
     assert textrules.classify(df, "k", "t", {"a": ["first", "second"], "b": ["zzz"]}).filter("k = 1 and rank = 1").first().score == 100
 
 
+def test_unmatched_within_one_text(spark):
+    texts = [(1, "see [3]\nReferences\n[1] One."), (2, "see [3], [1-250]\nReferences\n[3] Three.\n[250] Last.\n[251] More."), (3, "[7–2000000000]"), (4, "[9-2] and [10]")]
+    df = spark.createDataFrame(texts, "k int, t string")
+    rows = textrules.unmatched(textrules.cited_spans(df, "k", "t"), textrules.references(df, "k", "t")).collect()
+    assert {(r.side, r.k, r.number) for r in rows} == {("cited", 1, 3), ("listed", 1, 1), ("listed", 2, 251), ("cited", 4, 9), ("cited", 4, 10)} | {("cited", 2, n) for n in (1, 2, 4, 5, 6, 7, 8, 9)} | {("cited", 3, n) for n in range(7, 15)}
+    assert len(rows) == 21
+    assert [r.number for r in textrules.cited_numbers(df.filter("k = 2"), "k", "t").orderBy("number").collect()] == list(range(1, 251))
+
+
 def test_store_and_vectors(spark):
     files = spark.createDataFrame([("b", "h", 2), ("a", "h", 1), ("c", None, 3), ("d", None, 4)], "id string, sha256 string, registered_at int")
     assert sorted(r.id for r in store.register(files).collect()) == ["a", "c", "d"]
