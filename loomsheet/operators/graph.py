@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,17 +45,21 @@ def _pairs(df: DataFrame, *columns: tuple[str, str]) -> DataFrame:
     return df.select(F.explode(made).alias("p")).select("p.u", "p.v")
 
 
-def topological_levels(edges: DataFrame, most: int = 1_000) -> DataFrame:
+def topological_levels(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(vertex, level) by removing, round by round, the vertices nothing points to; those on or behind a cycle have none."""
     rest = checkpoint(edges.select("src", "dst").distinct())
     done = None
     left = checkpoint(rest.select(F.col("src").alias("vertex")).union(rest.select("dst")).distinct())
-    for level in range(most):
+    for level in itertools.count():  # every round but the last removes a vertex
+        if level == most:
+            raise RuntimeError("levels did not settle")
         free = left.join(rest.select(F.col("dst").alias("vertex")).distinct(), "vertex", "left_anti")
         marked = checkpoint(free.withColumn("level", F.lit(level)))
         if marked.isEmpty():
             break
         done = marked if done is None else done.unionByName(marked)
+        if level % 50 == 49:
+            done = checkpoint(done)
         left = checkpoint(left.join(marked, "vertex", "left_anti"))
         rest = checkpoint(rest.join(marked.select(F.col("vertex").alias("src")), "src", "left_anti"))
     return done if done is not None else left.withColumn("level", F.lit(0)).limit(0)
@@ -79,14 +85,20 @@ def minimum_spanning_forest(edges: DataFrame, most: int = 64) -> DataFrame:
     return tree if tree is not None else base.limit(0)
 
 
-def distances(edges: DataFrame, sources: DataFrame, most: int = 1_000, directed: bool = False) -> DataFrame:
-    """(source, vertex, distance) from each source by relaxing the frontier; unreachable vertices have no row."""
+def distances(edges: DataFrame, sources: DataFrame, most: int | None = None, directed: bool = False) -> DataFrame:
+    """(source, vertex, distance) from each source by relaxing the frontier; unreachable vertices have no row.
+
+    Rounds go on until nothing changes: after as many as there are vertices only a cycle of negative
+    weight still does, which is an error, as is not settling within ``most`` rounds.
+    """
     e = edges.select("src", "dst", F.col("weight").cast("double").alias("weight"))
     if not directed:
         e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     e = checkpoint(e.groupBy("src", "dst").agg(F.min("weight").alias("weight")))
     known = checkpoint(sources.select(F.col("vertex").alias("source"), "vertex", F.lit(0.0).alias("distance")).distinct())
     frontier = known
+    if most is None:
+        most = e.select("dst").distinct().count() + 1
     for _ in range(most):
         step = frontier.join(e, F.col("vertex") == F.col("src")).select("source", F.col("dst").alias("vertex"), (F.col("distance") + F.col("weight")).alias("new"))
         step = step.groupBy("source", "vertex").agg(F.min("new").alias("new"))
@@ -95,6 +107,8 @@ def distances(edges: DataFrame, sources: DataFrame, most: int = 1_000, directed:
             break
         known = checkpoint(known.unionByName(better).groupBy("source", "vertex").agg(F.min("distance").alias("distance")))
         frontier = better
+    else:
+        raise RuntimeError("distances did not settle")
     return known
 
 

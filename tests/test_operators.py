@@ -68,6 +68,18 @@ def test_forest_and_distances(spark):
     assert got == near
 
 
+def test_no_silent_end_of_rounds(spark):
+    chain = edges(spark, [(k, k + 1, 1.0) for k in range(1, 5)])
+    source = spark.createDataFrame([(1,)], "vertex int")
+    assert {r.vertex: r.distance for r in graph.distances(chain, source, directed=True).collect()} == {k: k - 1.0 for k in range(1, 6)}
+    with pytest.raises(RuntimeError):
+        graph.distances(chain, source, most=2).collect()
+    with pytest.raises(RuntimeError):
+        graph.topological_levels(chain, most=2).collect()
+    with pytest.raises(RuntimeError):  # a cycle of negative weight
+        graph.distances(edges(spark, [(1, 2, 1.0), (2, 1, -2.0)]), source, directed=True)
+
+
 def test_levels_and_feedback(spark):
     rows = [(1, 2, 1.0), (2, 3, 1.0), (1, 3, 1.0), (5, 6, 1.0), (6, 5, 1.0)]
     assert {r.vertex: r.level for r in graph.topological_levels(edges(spark, rows)).collect()} == {1: 0, 2: 1, 3: 2}
