@@ -1,14 +1,26 @@
 """Text garbled by a wrong character encoding: found, and restored where possible.
 
 A text is worked on in pieces (line breaks and intact sentence ends part them), for garbling comes in
-places.  Pieces with signs of it are the start of a best-first search over operations: encode by one
-codec and decode by another, and unescape references.  Visited texts are kept by hash; the cost that
-orders the queue is the plausibility of the characters (code length under the language models, of
-``language``) plus a charge for each operation; the cheapest reachable text wins when it saves enough.
+places.  A best-first search runs over operations on a piece: encode by one codec and decode by
+another, and unescape references.  Visited texts are kept by hash; the cost that orders the queue is
+the plausibility of the characters (code length under the language models, of ``language``) plus a
+charge for each operation; the cheapest reachable text wins when it saves enough.
+
+An operation is weighed place by place: of the spans it changes those are kept whose code, in their
+context and under the language that suits the context best, becomes shorter.  So a single garbled
+character in a long intact sentence, and a garbled place beside a language of another script, count
+as much as a text garbled whole.  Every operation kept shortens the code, hence the search ends of
+itself: it goes on until no text in the queue has a sign or an unlikely span left.
+
+A piece is searched if it has a sign (characters that are the bytes of a UTF-8 sequence in a
+single-byte codec), an escape, or a span of characters beyond ASCII whose own code is longer than
+intact text has (``UNLIKELY``); without such a span only decoding as UTF-8 is tried, for any other
+repair has to save ``SAVED`` bits, which likely characters don't have to spare.
 
 Defined results: null and empty texts are clean; a piece that only shows garbled characters within
 quotation marks is clean; text whose bytes are lost (replacement characters) is found, and restored
-only as far as bytes are left; equal texts give equal results; texts are processed whole.
+only as far as bytes are left; the result for a text depends on nothing but the text and the models;
+texts are processed whole.
 """
 
 from __future__ import annotations
@@ -18,9 +30,9 @@ import heapq
 import html
 import re
 import urllib.parse
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -40,26 +52,32 @@ COMMON = tuple((w, "utf-8") for w in ("cp1252", "latin-1", "cp437", "cp850", "ma
 #: bits charged for an operation, and what a repair must save
 CHARGE = {"utf-8": 4.0}
 OTHER_CHARGE = 16.0
-#: expansions of the search for one piece
-EXPANSIONS = 8
-#: expansions without gain after which the search ends
-PATIENCE = 2
-#: bits a byte above which a piece is looked at though no byte pattern shows, and up to which a repair is plausible
-ODD, PLAUSIBLE, CLEAN = 4.2, 3.6, 2.2
+#: bits a place must save to be changed, and bits a repair must save in all: from UTF-8, or by other codecs
+PLACE, STRICT, SAVED = 2.0, 6.0, 24.0
+#: share of its code a piece must save by other codecs if the outcome still has unlikely spans
+MUCH = 0.2
+#: texts costlier than the cheapest that are tried without reaching a cheaper one before the search ends
+PATIENCE = 1
+#: share of the characters beyond ASCII that a codec has above which whole UTF-8 sequences aren't by chance
+MOSTLY = 0.6
+#: bits by which the spans of a piece beyond ASCII may exceed so many bits a byte in all, if it is intact
+UNLIKELY = (9.0, 3.0)
+#: characters of context on either side of a changed span
+CONTEXT = 12
+#: bits an unseen character costs more, and one that prints nothing or is lost
+UNSEEN = 12.0
 LOST = re.compile("\ufffd|锟斤|斤拷|锟拷|ï¿½|\ufffd")
+_GONE = re.compile(f"((?:{LOST.pattern})+)")
 _BAD = re.compile("[\\ufffd\\x80-\\x9f\\ue000-\\uf8ff]")
 _ESCAPE = re.compile(r"&(?:#\d{2,6}|#x[0-9a-fA-F]{2,5}|[A-Za-z]{2,8});|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|(?:%[0-9A-Fa-f]{2}){2,}")
-#: without other signs, what garbling by codecs other than UTF-8 looks like: much that isn't ASCII, or scripts mixed in a word
-_FOREIGN = re.compile(r"[^\x00-\x7f–—‘-‟ ]{3}|[A-Za-z][Ѐ-ӿ一-鿿ｦ-ﾟ][A-Za-z]|(?:[^\x00-\x7f][\x00-\x7f]?){4}")
 QUOTED = re.compile(r"[“„«‘「『\"'](?P<in>[^“”„«»‘’「」『』\"'\n]{1,24})[”“»’」』\"']")
-_ENDS = (". ", "! ", "? ", "। ", "。", "！", "？", "\n", "\r", "\t")
+_END = re.compile("([.!?] |। |[。！？][”’」』）]*|[\n\r\t])")
 
 
 def cut(text: str) -> list[str]:
     """Pieces that give the text again when joined: parted at line breaks and intact sentence ends."""
-    for end in _ENDS:
-        text = text.replace(end, end + "\0")
-    return [p for p in text.split("\0") if p]
+    parts = _END.split(text)
+    return [p for p in (a + b for a, b in zip(parts[::2], [*parts[1::2], ""], strict=True)) if p]
 
 
 def _class(codec: str, low: int, high: int) -> str:
@@ -154,43 +172,66 @@ def _encoded(text: str, wrong: str) -> list[tuple[str, bytes | None]]:
     return out
 
 
-def _apply(runs: list[tuple[str, bytes | None]], wrong: str, right: str) -> str | None:
-    """The piece with its runs decoded by another codec; None where nothing comes of it."""
-    changed = False
-    out = []
-    for part, data in runs:
-        new = _decode(data, right, wrong) if data is not None else None
-        changed |= new is not None and new != part
-        out.append(part if new is None else new)
-    return "".join(out) if changed else None
-
-
 _SEQUENCES = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+")
 _UTF8 = re.compile(rb"(?:" + _SEQUENCES.pattern + rb"|[\x00-\x7f])+")
-_RUSSIAN = re.compile("[а-яёА-ЯЁ]{2}")
-#: a letter of Latin beside one of Cyrillic or a later alphabet (not Greek: units)
+#: a letter of Latin beside one of Cyrillic or a later alphabet (not Greek: units): a sequence by chance in an intact word
 _MIXED = re.compile("[A-Za-z\u00c0-\u024f][\u0400-\u1dff]|[\u0400-\u1dff][A-Za-z\u00c0-\u024f]")
+_BEYOND = re.compile("[^\x00-\x7f]+")
+
+
+def _pairs_of(codec: str, right: str) -> bool:
+    return codec in SINGLE and right in _NARROW
+
+
+_NARROW = {c for c in RIGHT if c not in ("utf-8", "gb18030", "cp932", "euc_jp", "big5")}
 
 
-def _decode(data: bytes, right: str, wrong: str) -> str | None:
+def _changes(runs: list[tuple[str, bytes | None]], wrong: str, right: str) -> list[tuple[int, int, str]]:
+    """Spans (start, end, new text) that change when runs are decoded by another codec."""
+    out: list[tuple[int, int, str]] = []
+    place = 0
+    for part, data in runs:
+        begin = place
+        place += len(part)
+        if data is None:
+            continue
+        if right == "utf-8":
+            if wrong in SINGLE:  # one character a byte: each maximal run of whole sequences is a span of its own
+                for m in _SEQUENCES.finditer(data):
+                    try:
+                        new = m.group().decode("utf-8")
+                    except UnicodeDecodeError:
+                        continue
+                    if len(new) > 1 or not _MIXED.search(part[: m.start()][-1:] + new + part[m.end() : m.end() + 1]):
+                        out.append((begin + m.start(), begin + m.end(), new))
+                continue
+            new = _decoded(data, wrong)
+        else:
+            try:
+                new = data.decode(right)
+            except UnicodeDecodeError:
+                continue
+        if new is None or new == part:
+            continue
+        if _pairs_of(wrong, right):  # one character a byte on both sides
+            out.extend((begin + m.start(), begin + m.end(), new[m.start() : m.end()]) for m in _BEYOND.finditer(part) if new[m.start() : m.end()] != m.group())
+            continue
+        a, b = _ends(part, new)
+        out.append((begin + a, begin + len(part) - b, new[a : len(new) - b]))
+    return out
+
+
+def _decoded(data: bytes, wrong: str) -> str | None:
+    """Bytes of two-byte characters read as UTF-8; what isn't in a whole sequence stays what it was."""
     try:
-        return data.decode(right)
+        return data.decode("utf-8")
     except UnicodeDecodeError:
-        if right != "utf-8":
-            return None
-    # what isn't in a whole sequence stays what it was: sequences with lost bytes, and intact characters
-    few = sum(map(len, _SEQUENCES.findall(data))) < 0.6 * sum(b > 0x7F for b in data)
-    if few and wrong not in SINGLE:
-        return None  # intact characters of two bytes are full of sequences by chance
+        if sum(map(len, _SEQUENCES.findall(data))) < 0.6 * sum(b > 0x7F for b in data):
+            return None  # intact characters of two bytes are full of sequences by chance
     out, place = [], 0
     try:
-        for m in (_SEQUENCES if few else _UTF8).finditer(data):
-            new = m.group().decode("utf-8")
-            if few and _RUSSIAN.match(m.group().decode(wrong, "replace")):
-                continue  # letters of intact words, as in signs()
-            if few and _MIXED.search(data[: m.start()][-1:].decode(wrong, "replace") + new + data[m.end() : m.end() + 1].decode(wrong, "replace")):
-                continue  # a sequence by chance in an intact word
-            out.append(data[place : m.start()].decode(wrong, "replace") + new)
+        for m in _UTF8.finditer(data):
+            out.append(data[place : m.start()].decode(wrong, "replace") + m.group().decode("utf-8"))
             place = m.end()
     except UnicodeDecodeError:
         return None
@@ -205,15 +246,24 @@ def _unescape(text: str) -> str:
     return new
 
 
+_DIGITS = str.maketrans("123456789", "0" * 9)
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
+def _folded(text: str) -> str:
+    """Small letters and one digit for all, character by character."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
+    return _SURROGATE.sub("?", low.translate(_DIGITS))
+
+
 def _normal(text: str) -> bytes:
-    text = text.lower()
-    for digit in "123456789":
-        text = text.replace(digit, "0")
-    return text.encode("utf-8", "replace")
+    return _folded(text).encode("utf-8")
 
 
-def _changed(old: str, new: str) -> tuple[str, str]:
-    """What differs of two texts: without their common start and end."""
+def _ends(old: str, new: str) -> tuple[int, int]:
+    """Lengths of the common start and of the common end of two texts."""
     least = min(len(old), len(new))
     a = 0
     while a < least and old[a] == new[a]:
@@ -221,7 +271,33 @@ def _changed(old: str, new: str) -> tuple[str, str]:
     b = 0
     while b < least - a and old[-1 - b] == new[-1 - b]:
         b += 1
-    return old[a : len(old) - b], new[a : len(new) - b]
+    return a, b
+
+
+def _groups(spans: list[tuple[int, int, str]]) -> list[list[tuple[int, int, str]]]:
+    """Spans in order, those within each other's context together."""
+    out: list[list[tuple[int, int, str]]] = []
+    for span in spans:
+        if out and span[0] - out[-1][-1][1] <= CONTEXT:
+            out[-1].append(span)
+        else:
+            out.append([span])
+    return out
+
+
+def _replaced(text: str, spans: list[tuple[int, int, str]], begin: int = 0, end: int | None = None) -> str:
+    """Part of a text with spans replaced."""
+    out, place = [], begin
+    for a, b, new in spans:
+        out.append(text[place:a])
+        out.append(new)
+        place = b
+    return "".join(out) + text[place:end]
+
+
+def _signed(text: str) -> bool:
+    """Whether a text has bytes of a UTF-8 sequence as characters, or an escape."""
+    return bool(not text.isascii() and signs().search(text) or _ESCAPE.search(text))
 
 
 class Repairer:
@@ -229,90 +305,178 @@ class Repairer:
 
     STORE = 100_000
 
-    def __init__(self, models: ppm.Models, pairs: tuple[tuple[str, str], ...] = PAIRS, expansions: int = EXPANSIONS):
-        self.models, self.pairs, self.expansions = models, pairs, expansions
+    def __init__(self, models: ppm.Models, pairs: tuple[tuple[str, str], ...] = PAIRS):
+        self.models, self.pairs = models, pairs
         self.known: dict[str, tuple[str, bool]] = {}
-        self.won: Counter[tuple[str, str]] = Counter()
+        self.letters: dict[str, float] = {}
+
+    def _extra(self, text: str) -> float:
+        """Bits for characters the models have never seen, that print nothing or are lost."""
+        if text.isascii():
+            return 0.0
+        fresh = [c for c in dict.fromkeys(text) if c not in self.letters]
+        if fresh:
+            seen = self.models.seen([_normal(c) for c in fresh])
+            self.letters.update((c, 0.0 if s and not _BAD.match(c) or c < "\x80" else UNSEEN) for c, s in zip(fresh, seen, strict=True))
+        return sum(map(self.letters.__getitem__, text))
 
     def costs(self, texts: list[str]) -> list[float]:
-        """Bits of each text under the language that suits it best; characters that print nothing or are lost cost more."""
+        """Bits of each text under the language that suits it best; characters that print nothing, are lost or unseen cost more."""
         bits = self.models.bits([_normal(t) for t in texts]).min(axis=1).tolist()
-        return [b + 12.0 * len(_BAD.findall(t)) for b, t in zip(bits, texts, strict=True)]
-
-    def _settled(self, piece: str, cost: float, text: str, strict: bool) -> bool:
-        """Whether a piece is restored: no sign is left, and what changed is clean by itself; by strict UTF-8, plausible or in a clean text."""
-        if text == piece or signs().search(text) or LOST.search(text) or _ESCAPE.search(text):
-            return False
-        if strict and cost < CLEAN * len(_normal(text)) + 4:
-            return True  # other codecs could only bend it towards the language around
-        new = _changed(piece, text)[1]
-        return self.costs([new])[0] < (PLAUSIBLE * len(_normal(new)) + 10 if strict else CLEAN * len(_normal(new)) + 4)
-
-    def search(self, piece: str, cost: float) -> tuple[str, float, bool]:
-        """Cheapest text reachable from a piece, its cost, and whether only UTF-8 was decoded on the way."""
-        best = (cost, piece, True)
-        queue = [(cost, 0, 0, 0.0, True, piece)]
+        return [b + self._extra(t) for b, t in zip(bits, texts, strict=True)]
+
+    def unlikely(self, pieces: list[str]) -> list[bool]:
+        """Whether a piece has a span beyond ASCII whose code, under the language its context suits best, is longer than that of intact text."""
+        folded = [_folded(p.rstrip("\r\n\t")) for p in pieces]
+        data = [f.encode("utf-8") for f in folded]
+        codes, firsts = self.models.codes_of(data)
+        sums = np.concatenate([np.zeros((1, codes.shape[1])), np.cumsum(codes, axis=0, dtype=np.float64)])
+        owner, begin, end, wide_begin, wide_end = [], [], [], [], []
+        for k, text in enumerate(folded):
+            points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            sizes = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+            at = np.concatenate([[0], np.cumsum(sizes)]) + firsts[k]
+            high = np.concatenate([[0], points >= 0x80, [0]]).astype(np.int8)
+            step = np.diff(high)
+            a, b = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+            if not len(a):
+                continue
+            owner.append(np.full(len(a), k))
+            begin.append(at[a])
+            end.append(at[b])
+            wide_begin.append(at[np.maximum(a - 2 * CONTEXT, 0)])
+            wide_end.append(at[np.minimum(b + 2 * CONTEXT, len(points))])
+        out = [self._extra(p) > 0 for p in pieces]
+        if owner:
+            who, a, b, wa, wb = map(np.concatenate, (owner, begin, end, wide_begin, wide_end))
+            best = (sums[wb] - sums[wa]).argmin(axis=1)
+            own = (sums[b] - sums[a])[np.arange(len(a)), best]
+            over = np.bincount(who, np.maximum(own - UNLIKELY[1] * (b - a), 0.0), len(pieces))
+            for k in np.flatnonzero(over > UNLIKELY[0]).tolist():
+                out[k] = True
+        return out
+
+    def _weighed(self, text: str, groups: list[tuple[tuple[str, str], list[tuple[int, int, str]]]]) -> tuple[dict[tuple[str, str], list[tuple[int, int, str, float]]], list]:
+        """The groups of spans that save something, by operation, with the bits saved by each span; and the other groups."""
+        out: dict[tuple[str, str], list[tuple[int, int, str, float]]] = {}
+        windows = []
+        for _, some in groups:
+            a, b = max(0, some[0][0] - CONTEXT), some[-1][1] + CONTEXT
+            new = _replaced(text, some, a, b)
+            windows.append((text[a:b], some[0][0] - a, some[-1][1] - a))
+            windows.append((new, some[0][0] - a, len(new) - len(text[some[-1][1] : b])))
+        bits = self._placed(list(dict.fromkeys(windows)))
+        failed = []
+        for (pair, some), old, new in zip(groups, windows[::2], windows[1::2], strict=True):
+            gain = bits[old] - bits[new]
+            if gain >= PLACE:
+                out.setdefault(pair, []).extend((*s, gain / len(some)) for s in some)
+            else:
+                failed.append((pair, some))
+        return out, failed
+
+    def _placed(self, windows: list[tuple[str, int, int]]) -> dict[tuple[str, int, int], float]:
+        """Bits of windows (text, start, end of the span): all under one language, or what precedes and follows the span each under its own, and the span under one of these."""
+        folded = [_folded(t) for t, _, _ in windows]
+        data = [f.encode("utf-8") for f in folded]
+        codes, firsts = self.models.codes_of(data)
+        sums = np.concatenate([np.zeros((1, codes.shape[1])), np.cumsum(codes, axis=0, dtype=np.float64)])
+        begin = firsts
+        end = firsts + np.fromiter(map(len, data), np.int64, len(data))
+        a = firsts + np.fromiter((len(f[:i].encode("utf-8")) for f, (_, i, _) in zip(folded, windows, strict=True)), np.int64, len(data))
+        b = end - np.fromiter((len(f[j:].encode("utf-8")) for f, (_, _, j) in zip(folded, windows, strict=True)), np.int64, len(data))
+        left, own, right = sums[a] - sums[begin], sums[b] - sums[a], sums[end] - sums[b]
+        lines = np.arange(len(data))
+        first, last = left.argmin(axis=1), right.argmin(axis=1)
+        first, last = np.where(a > begin, first, last), np.where(b < end, last, first)
+        parts = left.min(axis=1) + right.min(axis=1) + np.minimum(own[lines, first], own[lines, last])
+        whole = (left + own + right).min(axis=1)
+        best = np.where((a > begin) | (b < end), np.minimum(parts, whole), whole)
+        return {w: bits + self._extra(w[0]) for w, bits in zip(windows, best.tolist(), strict=True)}
+
+    def search(self, piece: str) -> list[tuple[str, float, bool]]:
+        """Cheapest text reachable from a piece, the bits it saves, and whether only UTF-8 was decoded on the way; then the cheapest by UTF-8 only."""
+        best = sure = (0.0, piece, True)
+        queue: list[tuple[float, int, bool, bool, str]] = [(0.0, 0, True, False, piece)]
         visited = {hash(piece)}
-        serial, last, idle = 0, None, 0
-        for _ in range(self.expansions):
-            if not queue or idle >= PATIENCE:
-                break
-            now, _, depth, spent, pure, text = heapq.heappop(queue)
-            if depth >= 3 or now > best[0] + 60 or (depth and self._settled(piece, *best)):
-                continue  # the piece itself is always expanded: whoever asks has seen a sign in it
-            idle += 1
-            # operations that have restored texts before come first; a settled text ends the search
+        serial, idle = 0, 0
+        while queue and idle <= PATIENCE:
+            spent, _, pure, firm, text = heapq.heappop(queue)
+            odd = self.unlikely([text])[0]
+            if serial and spent <= best[0] and (firm or not odd) and not _signed(text):
+                break  # the cheapest text, and nothing in it asks for a repair any more; other codecs could only bend what whole sequences gave
+            idle += spent > best[0]
             runs: dict[str, list[tuple[str, bytes | None]]] = {}
-            usual = [pair for pair, _ in self.won.most_common(6)]
-            for pairs in (usual, [p for p in self.pairs if p not in usual]):
-                found: dict[str, tuple[float, bool, tuple[str, str] | None]] = {}
-                for wrong, right in pairs:
-                    if wrong not in runs:
-                        runs[wrong] = _encoded(text, wrong)
-                    new = _apply(runs[wrong], wrong, right) if runs[wrong] else None
-                    if new is not None and hash(new) not in visited:
-                        found[new] = min(found.get(new, (9e9, False, None)), (spent + CHARGE.get(right, OTHER_CHARGE), pure and right == "utf-8", (wrong, right)), key=lambda x: x[0])
-                if pairs is not usual and _ESCAPE.search(text):
-                    new = _unescape(text)
-                    if new != text and hash(new) not in visited:
-                        found[new] = (spent + 1.0, pure, None)
-                if not found:
+            found: dict[str, tuple[float, bool]] = {}
+            mostly = False
+            kept: dict[tuple[str, str], list[tuple[int, int, str, float]]] = {}
+            failed: list = []
+            # whole UTF-8 sequences are evidence by themselves and come first; spans alone are for texts that nothing else improves
+            for step in ("utf-8", "other", "alone"):
+                if step == "alone" and found or step != "utf-8" and not odd:
+                    break
+                if step == "alone":
+                    groups = [(pair, [s]) for pair, some in failed if len(some) > 1 for s in some]
+                else:
+                    groups = []
+                    for wrong, right in self.pairs:
+                        if (right == "utf-8") == (step == "utf-8"):
+                            if wrong not in runs:
+                                runs[wrong] = _encoded(text, wrong)
+                            groups.extend(((wrong, right), group) for group in _groups(_changes(runs[wrong], wrong, right)))
+                if not groups:
                     continue
-                for (new, (charge, clean, pair)), bits in zip(found.items(), self.costs(list(found)), strict=True):
+                saving, rest = self._weighed(text, groups)
+                failed.extend(rest)
+                for pair, spans in saving.items():
+                    kept[pair] = sorted([*kept.get(pair, []), *spans])
+                    new = _replaced(text, [k[:3] for k in kept[pair]])
+                    total = spent - sum(k[3] for k in kept[pair]) + CHARGE.get(pair[1], OTHER_CHARGE)
+                    found[new] = min(found.get(new, (9e9, False)), (total, pure and pair[1] == "utf-8"))
+                if step == "utf-8" and any(sum(b - a for a, b, _, _ in spans) > MOSTLY * sum(c > "\x7f" for part, data in runs[wrong] if data is not None for c in part) for (wrong, _), spans in kept.items()):
+                    mostly = True
+                    break  # other bytes have such sequences by chance only; what is left is for the next text
+                if found and min(found.values())[0] < spent - STRICT and not self._open(min(found, key=found.get)):
+                    break
+            if _ESCAPE.search(text):
+                new = _unescape(text)
+                old_cost, new_cost = self.costs([text, new])
+                found.setdefault(new, (spent + new_cost - old_cost + 1.0, pure))
+            for new, (total, strict) in found.items():
+                if total < spent and hash(new) not in visited:  # every operation has to save something, so the search ends
                     visited.add(hash(new))
                     serial += 1
-                    total = bits + charge
                     if total < best[0]:
-                        best, last, idle = (total, new, clean), pair, 0
-                    heapq.heappush(queue, (total, serial, depth + 1, charge, clean, new))
-                if self._settled(piece, best[0], best[1], False):
-                    break
-        if last:
-            self.won[last] += 1
-        return best[1], best[0], best[2]
+                        best, idle = (total, new, strict), 0
+                    if strict and total < sure[0]:
+                        sure = (total, new, True)
+                    heapq.heappush(queue, (total, serial, strict, mostly and strict, new))
+        return [(best[1], -best[0], best[2]), (sure[1], -sure[0], True)]
+
+    def _open(self, text: str) -> bool:
+        return _signed(text) or self.unlikely([text])[0]
 
-    def _judge(self, piece: str, cost: float) -> tuple[str, bool]:
+    def _judge(self, piece: str) -> tuple[str, bool]:
         lost = bool(LOST.search(piece))
-        sign = bool(signs().search(piece))
-        escaped = bool(_ESCAPE.search(piece))
-        if lost or sign:
-            outside = QUOTED.sub("“”", piece)
-            if outside != piece and not signs().search(outside) and not LOST.search(outside):
-                return piece, False  # it only quotes such characters
-        if not (sign or lost or escaped):
-            size = len(_normal(piece))
-            if cost <= ODD * size + 10 or not _FOREIGN.search(piece):
-                return piece, False
-        text, now, pure = self.search(piece, cost)
-        if text == piece:
-            return piece, lost
-        if pure and cost - now > 6:
-            return text, True
-        # no strict code vouches for it: what changed must turn into plausible text
-        spans = _changed(piece, text)
-        old, new = self.costs(list(spans))
-        size = len(_normal(spans[1]))
-        return (text, True) if old - new > 40 and new < 0.7 * old and new < PLAUSIBLE * size + 10 else (piece, lost)
+        outside = QUOTED.sub("“”", piece)
+        if outside != piece and not LOST.search(outside) and self._mended(outside) == outside:
+            return piece, False  # it only quotes such characters
+        text = "".join(part if k % 2 else self._mended(part) for k, part in enumerate(_GONE.split(piece))) if lost else self._mended(piece)
+        return text, lost or text != piece
+
+    def _mended(self, piece: str) -> str:
+        if not piece or not self._open(piece):
+            return piece
+        for text, saved, strict in self.search(piece):
+            if text == piece or saved <= (STRICT if strict else SAVED):
+                continue
+            # without a strict code to vouch for it, what comes out must be likely text, or much likelier
+            if strict or not self.unlikely([text])[0]:
+                return text
+            a, b = _ends(piece, text)
+            if saved > MUCH * self.costs([piece[max(0, a - CONTEXT) : len(piece) - b + CONTEXT]])[0]:
+                return text
+        return piece
 
     def learn(self, pieces: list[str]) -> None:
         if len(self.known) > self.STORE:
@@ -323,7 +487,9 @@ class Repairer:
         new = [p for p in new if p not in self.known]
         for a in range(0, len(new), 2048):
             part = new[a : a + 2048]
-            self.known.update((p, self._judge(p, c)) for p, c in zip(part, self.costs(part), strict=True))
+            for p, odd in zip(part, self.unlikely(part), strict=True):
+                searched = odd or _signed(p) or LOST.search(p)
+                self.known[p] = self._judge(p) if searched else (p, False)
 
     def repair(self, texts: list[str]) -> list[tuple[str, int]]:
         """(restored text, pieces found) of each text."""

@@ -147,15 +147,31 @@ class Models:
         keys = np.concatenate([np.zeros(1, np.uint64), *all_keys])
         return cls(classes, keys, codes.astype(np.float16), escapes.astype(np.float16))
 
+    def seen(self, characters: list[bytes]) -> list[bool]:
+        """Whether byte strings of at most ``ORDER + 1`` bytes occur in the training text of any class."""
+        if self._table is None:
+            self._table = Table(self.keys)
+        keys = [int.from_bytes(c, "big") | len(c) << 56 for c in characters]
+        return (self._table.find(np.array(keys, np.uint64)) > 0).tolist() if keys else []
+
     def bits(self, pieces: list[bytes]) -> np.ndarray:
         """Code length in bits of each piece (rows) under each class (columns)."""
+        out = np.zeros((len(pieces), len(self.classes)), np.float32)
+        codes, firsts = self.codes_of(pieces)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        filled = np.flatnonzero(sizes > 0)
+        if len(filled):
+            out[filled] = np.add.reduceat(codes, firsts[filled], axis=0)
+        return out
+
+    def codes_of(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Code length of each byte of all pieces (rows) under each class (columns), and the row each piece starts at."""
         if self._table is None:
             self._table = Table(self.keys)
         find = self._table.find
-        out = np.zeros((len(pieces), len(self.classes)), np.float32)
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         if not sizes.sum():
-            return out
+            return np.zeros((0, len(self.classes)), np.float32), np.zeros(len(pieces), np.int64)
         data = np.frombuffer(PAD + PAD.join(pieces), np.uint8)
         starts = np.cumsum(sizes + len(PAD)) - sizes
         own = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
@@ -178,7 +194,4 @@ class Models:
         row[open_] = 0
         codes = self.codes[row].astype(np.float32)
         codes[rest] += extra
-        filled = np.flatnonzero(sizes > 0)
-        firsts = (np.cumsum(sizes) - sizes)[filled]
-        out[filled] = np.add.reduceat(codes, firsts, axis=0)
-        return out
+        return codes, np.cumsum(sizes) - sizes
