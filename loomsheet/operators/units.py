@@ -10,7 +10,8 @@ Defined results
   * null, empty or non-quantity text ("auto", "-"): no row;
   * a character needs the row's font size; where that isn't known: no row;
   * a unit that can't measure the field (a percentage of a font size): no row;
-  * ties at .5 go to the even number; decimal commas and full-width forms are read;
+  * ties at .5 go away from zero; a character is as wide as the font size as it comes out, in whole
+    half-points; decimal commas and full-width forms are read;
   * copies of a row give the same rows, which ``common_values`` reduces to one.
 """
 
@@ -196,6 +197,11 @@ def to_common(number: Column, unit: Column, field: str, character_twips: Column)
     return F.when(fits, twips / UNITS[COMMON[field]][3])
 
 
+def _whole(value: Column) -> Column:
+    """The nearest integer; noise of binary fractions makes no tie and breaks none."""
+    return F.round(F.round(value, 6), 0)
+
+
 def common_values(formats: DataFrame, sources: DataFrame) -> DataFrame:
     """(format_id, field_name, unit, common_value) for each value stated in another unit than the common one.
 
@@ -211,13 +217,13 @@ def common_values(formats: DataFrame, sources: DataFrame) -> DataFrame:
         quantities = quantities.withColumn(f"u_{f}", F.coalesce(stated, F.lit(COMMON[f])))
     unknown = F.lit(None).cast("double")
     size = to_common(F.col("q_font_size.number"), F.col("u_font_size"), "font_size", unknown)
-    quantities = quantities.withColumn("char_twips", size * 10)
+    quantities = quantities.withColumn("char_twips", _whole(size) * 10)
     cells = F.array(
         *[
             F.struct(
                 F.lit(f).alias("field_name"),
                 F.col(f"u_{f}").alias("unit"),
-                F.bround(F.round(to_common(F.col(f"q_{f}.number"), F.col(f"u_{f}"), f, F.col("char_twips")), 6), 0).alias("value"),
+                _whole(to_common(F.col(f"q_{f}.number"), F.col(f"u_{f}"), f, F.col("char_twips"))).alias("value"),
             )
             for f in FIELDS
         ]

@@ -13,7 +13,7 @@ def found(spark, *rows, notes=()):
 
 @pytest.mark.parametrize(
     "text, twips",
-    [("12pt", 240), (" 1,27 cm ", 720), ("１２．７ ｍｍ", 720), ("0.5\"", 720), ("96px", 1440), ("10.7 px", 160), ("26.7px", 400), ("2 pica", 480), ("304800 EMU", 480), ("2ch", 480), ("2 字符", 480)],
+    [("12pt", 240), (" 1,27 cm ", 720), ("１２．７ ｍｍ", 720), ("0.5\"", 720), ("96px", 1440), ("10.7 px", 161), ("26.7px", 401), ("37.3px", 560), ("2 pica", 480), ("304800 EMU", 480), ("2ch", 480), ("2 字符", 480)],
 )
 def test_lengths(spark, text, twips):
     assert found(spark, (None, None, "24", text, None, None)) == {(0, "first_line_indent"): twips}
@@ -36,6 +36,10 @@ def test_order_of_statements(spark):
     assert found(spark, *rows, notes=notes) == {(0, "font_size"): 24, (1, "font_size"): 57, (2, "font_size"): 57}
 
 
+def test_character_is_as_wide_as_the_size_that_comes_out(spark):
+    assert found(spark, (None, None, "4.07mm", "2 字符", None, None)) == {(0, "font_size"): 23, (0, "first_line_indent"): 460}
+
+
 def test_character_needs_size(spark):
     assert found(spark, (None, None, None, "2ch", None, None), (None, None, "auto", "2ch", None, None)) == {}
     assert found(spark, (None, None, "14%", None, None, None)) == {}
