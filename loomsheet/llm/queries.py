@@ -33,7 +33,7 @@ def labelled_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def record_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main language and segments of every record, with confidence."""
     models = language.fit(load(spark, sf_dir, "documents"), "doc_id")
-    units = sentences.fit(load(spark, sf_dir, "word_texts"), "text", "word_id", rows=1_000)
+    units = sentences.fit(load(spark, sf_dir, "word_texts"), "text", "word_id")
     return language.language_rows(spread(labelled_records(spark, sf_dir)), models, units)
 
 
@@ -70,7 +70,7 @@ PARAGRAPH_LIMIT, TEXT_LIMIT, OVERLAP = 1_000, 4_000, 100
 def oversized_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of the paragraphs and texts of word_texts above their limits; copies of a record give copies."""
     words = load(spark, sf_dir, "word_texts").select("word_id", "text", "paragraphs")
-    model = sentences.fit(words, "text", "word_id", rows=1_000)
+    model = sentences.fit(words, "text", "word_id")
     texts = words.select("word_id", F.lit("text").alias("field_name"), F.lit(0).alias("item_no"), "text", F.lit(TEXT_LIMIT).alias("size_limit"))
     paragraphs = words.select("word_id", F.lit("paragraphs").alias("field_name"), F.posexplode("paragraphs").alias("item_no", "text")).withColumn("size_limit", F.lit(PARAGRAPH_LIMIT))
     items = texts.unionByName(paragraphs).filter(F.char_length("text") > F.col("size_limit")).withColumn("overlap", F.lit(OVERLAP))

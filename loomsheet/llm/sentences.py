@@ -3,26 +3,33 @@
 Every character carries the tag boundary (last of its unit) or inside.  Characters that can't end a
 unit have one possible tag, so the chain is decoded over the others: clusters of closing
 punctuation, closers of quotations and brackets, and in scripts without periods the blanks between
-two letters, or before a sentence in another script.  Emission weights are those of a log-linear model on the context (kind of cluster, class
-of the word before, blank, class of what follows, the words themselves); transitions score two
-boundaries close together; Viterbi decoding gives the best tags of a line.
-
-The model is trained on a bounded sample of lines (``SAMPLE_ROWS`` rows): lines are joined, so their
-ends are true boundaries; where the script uses no period the lines are stripped of punctuation before
-they are joined; candidates inside lines take the tag of ``seed_tag``, a conservative rule.
+two letters, or before another script.  Emissions are the log-odds of a log-linear model on the
+context (kind of cluster, blank, case and kind of what follows, shape of the word before, and the
+words themselves); transitions are the log-ratios of pairs of tags, for neighbours close together and
+others; Viterbi decoding gives the best tags of a line.
+
+All weights are learnt from a bounded sample of rows (``SAMPLE_ROWS``) by what line breaks tell: a
+line end is a true boundary, so lines are joined and the joint is a boundary with its context; where
+the script uses no period, lines are stripped of punctuation before they are joined.  The candidates
+inside lines are unlabelled.  A first model parts joints from them: an abbreviation, a unit or a word
+that goes on is common inside lines but never stands at a joint, so its odds are far below those of
+joints.  Unlabelled candidates with odds like joints are taken for boundaries, those far below for inside, and the
+model is fitted again on these tags (``ROUNDS``).  No list of words is given.
 
 Defined results: null and blank texts give no unit; a line break always ends a unit; a line with tabs
-(a row of a table) is one unit; lines ``--- ... ---`` are none; units have no blanks at either end;
-offsets count code points; texts of any length are processed whole.
+(a row of a table) is one unit; lines ``--- ... ---`` are none; a blank between two Thai letters ends
+a unit; units have no blanks at either end; offsets count code points; texts of any length are
+processed whole.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,47 +44,20 @@ BREAK = re.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 MARKER = re.compile(r"\s*-{3}.*-{3}\s*$")
 _CLOSERS = "”’\"»“」』)）\\]】〉》"
 #: a cluster of terminals with its closers, an opener or closer alone, or a blank between Thai letters
-EVENT = re.compile(r"(?P<t>(?:[!?！？。।॥｡…]|\.(?!\d))+)|(?P<q>[“”„«»「」『』《》〈〉()（）\[\]【】\"])|(?P<w>(?<=[ก-๎])[^\S\t\n]+(?=\w))")
+EVENT = re.compile(r"(?P<t>(?:[!?！？。।॥｡…]|\.(?!\d))+)|(?P<q>[“”„«»「」『』《》〈〉()（）\[\]【】\"])|(?P<w>(?<=[ก-๎])[^\S\t\n]+(?=[^\W\d_]))")
 _THAI = re.compile("[ก-๎]")
-#: three words of a sentence in Latin script before Thai goes on
-_LATIN = re.compile(r"(?:[A-Za-zÀ-ÿ’'-]+[\s,]+)*?(?:[a-zß-ÿ’'-]{2,}[\s,]+(?:[\w.,%°-]+[\s,]+){0,2}?){3}")
 _OPEN = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』", "《": "》", "〈": "〉", "(": ")", "（": "）", "[": "]", "【": "】"}
+_FOLD = str.maketrans(LOOK_ALIKES | {c: None for c in "\u200b\u200c\u200d\u2060\ufeff\u00ad"})
+_TO_FOLD = re.compile("[" + re.escape("".join(map(chr, _FOLD))) + "]")
+_NUMBERS = re.compile(r"[\d.,]*\d")
 _SHUT = set(_OPEN.values())
 _BRACKETS = {"(", "（", "[", "【"}
-_FOLD = str.maketrans(LOOK_ALIKES | {c: None for c in "\u200b\u200c\u200d\u2060\ufeff\u00ad"})
-
-#: fixed values: abbreviations that stand before a name, a word or a number and never end a unit
-NEVER = set(
-    "dr dra prof mr mrs ms mme mlle sr sra st ste hr fr rer nat phil med habil vgl cf e.g i.e approx ca aprox env evtl vs bzw inkl zzgl ggf sog univ op "
-    "им проф акад напр см ср ок ed eds ff al др vid v viz al. ej ex p.ex z.b d.h u.a т.е डॉ प्रो ดร नं".split()
-)
-#: fixed values: abbreviations that stand before a number
-BEFORE_NUMBER = set("no nr núm num n vol pp p s fig figs tab abb eq eqs sect sec seç ch chap cap kap art pág pag bd jg гл ст рис табл с стр т сов № सं क्र ch. bl".split())
-#: fixed values: abbreviations that may end a unit
-MAYBE = set("etc usw ltd inc co corp gmbh a.m p.m a.s.l bsp jr sr. cit ibid loc".split())
-#: fixed values: pairs of abbreviated words (word before, word) that may end a unit
-MAYBE_PAIRS = {("т", "д"), ("т", "п"), ("и", "др"), ("s", "o"), ("s", "u"), ("u", "co"), ("a", "c"), ("d", "c"), ("n", "chr"), ("v", "chr")}
-#: fixed values: units of measure that follow a number
-UNIT = set("g kg mg µg μg ng t h s min d a m mm cm km µm nm l ml µl v w kw j k c f hz mol г кг мг ч м мм см км с мин сут л мл т".split())
-NEVER, BEFORE_NUMBER, MAYBE, UNIT = ({x.translate(_FOLD) for x in group} for group in (NEVER, BEFORE_NUMBER, MAYBE, UNIT))
-MAYBE_PAIRS = {(a.translate(_FOLD), b.translate(_FOLD)) for a, b in MAYBE_PAIRS}
-_ABBREVIATED = NEVER | BEFORE_NUMBER
-#: fixed values: units of measure written with a capital
-CAPITAL_UNIT = set("A V W K J C F N L".split())
-#: fixed values: months that follow a day written as a number with a period
-MONTH = set("januar februar märz april mai juni juli august september oktober november dezember jänner".split())
-#: fixed values: how the rest of a sentence goes on after a quotation in scripts without capitals
-GO_ON = ("的", "随后", "并", "而后", "之后", "后", "时", "等", "一文", "字样", "と", "という", "とい", "は", "が", "を", "に", "で", "も", "の", "など", "और", "कह", "लिख", "पूछ", "के", "को", "से", "में", "แล้ว", "และ", "ว่า")
-#: fixed values: words that start a unit though written with a small letter
-SMALL_START = ("pH", "qPCR", "mRNA", "the ")
 
 
 def _class_after(rest: str) -> str:
     if not rest:
         return "end"
     ch = rest[0]
-    if rest.startswith(SMALL_START):
-        return "upper"
     if ch.isupper():
         return "upper"
     if ch.islower():
@@ -90,32 +70,23 @@ def _class_after(rest: str) -> str:
         return "open"
     if ch in "—–-":
         return "dash"
-    if ch.isalpha():
-        return "goes_on" if rest.startswith(GO_ON) else "letter"
-    return "punct"
-
-
-def _class_before(word: str, before: str) -> str:
-    low = word.lower()
-    if before[-1:].isdigit() and low in UNIT and (not word.isupper() or word in CAPITAL_UNIT):
-        return "unit"
-    if (before.lower().rstrip("."), low) in MAYBE_PAIRS:
-        return "maybe"
-    if len(word) == 1 and word.isalpha() and ord(word) < 0x2E80:
-        return "number_abbr" if low in BEFORE_NUMBER and not word.isupper() else "initial" if word.isupper() else "single"
-    if low in MAYBE:
-        return "maybe"
-    if low in BEFORE_NUMBER:
-        return "number_abbr"
-    if low in NEVER:
-        return "never"
-    if "." in word and word.replace(".", "").isalpha() and max(map(len, word.split("."))) == 1:
-        return "dotted"
-    if word[-1:].isdigit():
-        return "number"
+    return "letter" if ch.isalpha() else "punct"
+
+
+def _shape(word: str, before: str) -> str:
+    """Shape of the word before a cluster: its kind, length and case, and whether a number stands before it."""
     if not word:
         return "none"
-    return "word" if word[-1].isalpha() else "sign"
+    after_number = "9" if before[-1:].isdigit() else ""
+    if word[-1].isdigit():
+        return "number"
+    if "." in word:
+        return "dotted"
+    if not word[-1].isalpha():
+        return "sign"
+    if ord(word[-1]) >= 0x2E80:
+        return "wide"
+    return f"{after_number}{'U' if word.isupper() else 'u' if word[0].isupper() else 'l'}{min(len(word), 5)}"
 
 
 class Candidate:
@@ -127,17 +98,21 @@ class Candidate:
         self.end, self.parts = end, parts
 
 
+def _fold(text: str) -> str:
+    return text.translate(_FOLD) if not text.isascii() and _TO_FOLD.search(text) else text
+
+
 def _context(line: str, start: int, end: int, mark: str, closed: str) -> tuple:
-    """(cluster kind, class before, blank, class after, word before, word after, closing kind)."""
-    head = line[max(0, start - 40) : start].translate(_FOLD)
+    """(cluster kind, shape before, blank, class after, word before, word before that, word after, closing kind)."""
+    head = _fold(line[max(0, start - 40) : start])
     words = head.split()
     word = words[-1].lstrip("([{（«“„\"'‘—–") if words and not head[-1:].isspace() else ""
     word = re.split("[。！？，；：、]", word)[-1]
-    tail = word.rpartition(".")[2]
-    if tail != word and tail.lower() in _ABBREVIATED and (len(word) - len(tail) > 3 or len(tail) > 2):
+    whole, _, tail = word.rpartition(".")
+    if len(whole) > 3 and tail:
         word = tail  # a unit ended before it without a blank
     before = words[-2].lstrip("([{（«“„\"'") if len(words) > 1 and word else ""
-    following = line[end : end + 24].translate(_FOLD)
+    following = _fold(line[end : end + 64])
     rest = following.lstrip()
     blank = len(rest) < len(following)
     after_word = re.match(r"\w*", rest).group()[:12]
@@ -150,15 +125,28 @@ def _context(line: str, start: int, end: int, mark: str, closed: str) -> tuple:
     else:
         kind = "stop"
     after = _class_after(rest)
-    if after_word.lower() in MONTH:
-        after = "month"
-    if not blank and after == "upper":
-        after = "upper" if len(after_word) > 1 and after_word[1:2].islower() or closed else "glued"
-    return kind, _class_before(word.rstrip("."), before) if kind == "stop" else "any", blank, after, word.lower()[-12:], after_word, closed
-
-
-def candidates(line: str) -> list[Candidate]:
-    """Places of a line where a unit may end, but for its own end; none inside a matched quotation or bracket."""
+    if after == "upper" and len(after_word) > 1 and not after_word[1].islower():
+        after = "capitals"
+    if after_word and ord(after_word[0]) >= 0x0900:
+        after_word = after_word[:2]
+    shape = _shape(word.rstrip("."), before) if kind == "stop" else "any"
+    word, before, after_word = (_NUMBERS.sub("0", w) for w in (word.lower()[-12:], before.lower().rstrip(".")[-6:], after_word))
+    return kind, shape, blank, after, word, before, after_word, closed
+
+
+def _thai_context(line: str, start: int, end: int) -> tuple:
+    """The context of a blank after Thai: what follows, and how many small words of it in Latin script."""
+    rest = line[end : end + 80]
+    nxt = rest[0]
+    if _THAI.match(nxt):
+        return "space", "any", True, "thai", "", "", "", ""
+    words = re.match(r"(?:[^\W\d_\u0900-\uffff][\w.,%°’'-]*\s+)*", rest).group().split()
+    after = f"latin{min(4, sum(w.strip('.,').islower() for w in words))}" if ord(nxt) < 0x370 else "script"
+    return "space", "any", True, after, "", "", "", ""
+
+
+def candidates(line: str, at: int | None = None) -> list[Candidate]:
+    """Places of a line where a unit may end, but for its own end, or the one ``at`` an end; none inside a matched quotation or bracket."""
     events = [(m.start(), m.end(), m.lastgroup, m.group()) for m in EVENT.finditer(line)]
     stack: list[tuple[str, int]] = []
     spans: dict[int, int] = {}
@@ -187,7 +175,7 @@ def candidates(line: str) -> list[Candidate]:
                 fresh = not line[:start].strip() or line[:start].rstrip()[-1] in ".!?。！？।…”」』»）)"
                 closed = ("bracket" if mark in _BRACKETS else "quote") + ("_fresh" if fresh else "")
                 nxt = events[last + 1] if last + 1 < len(events) else None
-                if not (nxt and nxt[2] == "t" and nxt[0] == close):  # a terminal follows the closer at once
+                if at in (None, close) and not (nxt and nxt[2] == "t" and nxt[0] == close):  # a terminal follows the closer at once
                     found.append(Candidate(close, _context(line, inner[0], close, inner[3], closed)))
             k = last + 1
             continue
@@ -197,72 +185,49 @@ def candidates(line: str) -> list[Candidate]:
                 stop += 1
                 if k + 1 < len(events) and events[k + 1][0] < stop:
                     k += 1
-            found.append(Candidate(stop, _context(line, start, stop, mark, "loose" if stop > end else "")))
-        elif kind == "w":
-            nxt = line[end]
-            if _THAI.match(nxt):
-                found.append(Candidate(start, ("space", "any", True, "letter", "", "", "")))
-            elif nxt.isalpha() and (ord(nxt) > 0x36F or _LATIN.match(line, end)):
-                found.append(Candidate(start, ("space", "any", True, "script", "", "", "")))
+            if at in (None, stop):
+                found.append(Candidate(stop, _context(line, start, stop, mark, "loose" if stop > end else "")))
+        elif kind == "w" and at in (None, start):
+            found.append(Candidate(start, _thai_context(line, start, end)))
         k += 1
     return [c for c in found if line[c.end :].strip()]
 
 
-def seed_tag(parts: tuple) -> bool:
-    """The conservative rule that tags candidates inside training lines."""
-    kind, before, blank, after, word, _, closed = parts
-    if kind == "space":
-        return True
-    if after in ("punct", "dash", "goes_on"):
-        return False
-    if closed.startswith("bracket") and not closed.endswith("fresh"):
-        return False
-    if kind == "full":
-        return True
-    if after == "lower" and (closed or not blank):
-        return False
-    if kind == "dots":
-        return blank and after in ("upper", "open", "bracket")
-    if kind == "call" or closed:
-        return blank or after in ("letter", "upper")
-    if after == "month" or before == "never":
-        return False
-    if not blank:
-        if after == "glued":
-            return before == "word" and len(word) > 2
-        return after in ("letter", "upper", "open", "bracket") and before in ("word", "number", "unit", "sign", "none", "maybe")
-    if before == "number_abbr":
-        return (after == "upper" and len(word) > 1) or (after == "open" and word == "sec")
-    if before in ("initial", "single", "dotted"):
-        return False
-    if before == "maybe":
-        return after in ("upper", "letter", "open")
-    if before == "unit":
-        return after != "lower" or word != "г"
-    return True
+def features(parts: tuple) -> list[str]:
+    kind, shape, blank, after, word, before, after_word, closed = parts
+    out = [f"k{kind}|{blank:d}|{after}|{closed}", f"a{kind}|{after}", f"c{kind}|{closed}|{blank:d}"]
+    if kind == "stop":
+        out += [f"b{shape}|{after}|{blank:d}", f"n{after_word}", f"s{shape}|{after_word}"]
+        if not closed:  # words within a quotation or bracket say nothing of what follows it
+            out += [f"w{word}", f"w{word}|{after}"]
+            if len(word) < 4 and word.isalpha():
+                out.append(f"p{before}|{word}")
+    elif kind != "space":
+        out += [f"m{after_word}|{closed[:5]}", f"m{after_word[:1]}|{closed[:5]}"]
+    return out
 
 
-def features(parts: tuple) -> list[str]:
-    kind, before, blank, after, word, after_word, closed = parts
-    shape = f"{kind}|{before}|{blank:d}|{after}|{closed}"
-    return [f"s{seed_tag(parts):d}", shape, f"a{kind}|{after}|{closed}", f"b{kind}|{before}|{after}", f"w{kind}|{word}|{after}", f"n{kind}|{after_word[:4]}|{closed[:5]}"]
+#: log-ratios of the tags (inside, boundary) of neighbouring candidates, [close or not][tag before][tag]
+Links = tuple[tuple[tuple[float, float], tuple[float, float]], tuple[tuple[float, float], tuple[float, float]]]
+NO_LINKS: Links = (((0.0, 0.0), (0.0, 0.0)), ((0.0, 0.0), (0.0, 0.0)))
 
 
 class Model:
-    """Weights of the chain: features of a boundary, and of two boundaries within ``NEAR`` characters."""
+    """Weights of the chain: features of a boundary, and ``links`` of the tags of neighbours within ``NEAR`` characters and beyond."""
 
     NEAR = 2
 
-    def __init__(self, weights: dict[str, float], near: float):
-        self.weights, self.near = weights, near
+    def __init__(self, weights: dict[str, float], links: Links | float = NO_LINKS):
+        self.weights, self.links = weights, links if isinstance(links, tuple) else NO_LINKS
         self.known: dict[tuple, float] = {}
 
     def score(self, parts: tuple) -> float:
+        """Log-odds of a boundary."""
         value = self.known.get(parts)
         if value is None:
             if len(self.known) > 50_000:
                 self.known.clear()
-            value = self.known[parts] = sum(self.weights.get(f, 0.0) for f in features(parts))
+            value = self.known[parts] = self.weights.get("", 0.0) + sum(self.weights.get(f, 0.0) for f in features(parts))
         return value
 
     def decode(self, line: str) -> list[int]:
@@ -270,16 +235,13 @@ class Model:
         found = candidates(line)
         if not found:
             return []
-        inside, boundary = 0.0, -math.inf
-        back: list[tuple[bool, bool]] = []
-        place = -10
-        for c in found:
-            emission = self.score(c.parts)
-            link = self.near if c.end - place <= self.NEAR else 0.0
-            to_inside = boundary > inside
-            to_boundary = boundary + link > inside
-            inside, boundary = max(inside, boundary), max(inside, boundary + link) + emission
-            back.append((to_inside, to_boundary))
+        inside, boundary = 0.0, self.score(found[0].parts)
+        back: list[tuple[bool, bool]] = [(False, False)]
+        place = found[0].end
+        for c in found[1:]:
+            (ii, ib), (bi, bb) = self.links[0 if c.end - place <= self.NEAR else 1]
+            back.append((boundary + bi > inside + ii, boundary + bb > inside + ib))
+            inside, boundary = max(inside + ii, boundary + bi), max(inside + ib, boundary + bb) + self.score(c.parts)
             place = c.end
         tag, ends = boundary > inside, []
         for c, (i, b) in zip(reversed(found), reversed(back), strict=True):
@@ -292,7 +254,7 @@ class Model:
         """(start, end) of the units of a text in code points."""
         out: list[tuple[int, int]] = []
         place = 0
-        for piece in _lines(text or ""):
+        for piece in _with_breaks(text or ""):
             line, at = piece, place
             place += len(piece)
             line = line.rstrip("\r\n\x0b\x0c\x85\u2028\u2029")
@@ -310,7 +272,7 @@ class Model:
         return out
 
 
-def _lines(text: str) -> Iterator[str]:
+def _with_breaks(text: str) -> Iterator[str]:
     begin = 0
     for m in BREAK.finditer(text):
         yield text[begin : m.end()]
@@ -319,36 +281,97 @@ def _lines(text: str) -> Iterator[str]:
         yield text[begin:]
 
 
-def train(texts: Iterable[str | None], rounds: int = 6, rate: float = 0.5, penalty: float = 1e-4) -> Model:
-    """Fit the log-linear weights on joined lines by adaptive gradient steps; order of texts fixes the result."""
-    examples: Counter[tuple[tuple, bool]] = Counter()
+#: starts of the lines that follow a line end with which it is joined
+STARTS = 3
+#: how far below the median joint the log-odds of an unlabelled candidate must be for inside, and may be for a boundary
+FAR, NEXT = 3.0, 1.5
+#: rounds of tagging the unlabelled candidates anew
+ROUNDS = 2
+
+
+def _fitted(rows: list[np.ndarray], width: int, tags: np.ndarray, weights: np.ndarray, steps: int = 60, rate: float = 0.5, penalty: float = 0.02) -> np.ndarray:
+    """Weights of a logistic model over binary features by adaptive gradient steps on all rows at once."""
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    names = np.concatenate(rows)
+    own = np.zeros(width)
+    squares = np.full(width, 1e-6)
+    for _ in range(steps):
+        z = np.bincount(owner, own[names], len(rows))
+        error = weights * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - tags)
+        gradient = np.bincount(names, error[owner], width) + penalty * own
+        squares += gradient**2
+        own -= rate * gradient / np.sqrt(squares)
+    return own
+
+
+def _lines(text: str | None) -> list[str]:
+    return [x.strip() for x in BREAK.split(text or "") if x.strip() and "\t" not in x and not MARKER.match(x)]
+
+
+def _joint(first: str, second: str, glued: bool) -> tuple | None:
+    """The context of the joint of two lines, if a unit may end there."""
+    if _THAI.search(first[-1:]) and re.match(r"[^\W\d_]", second):  # a script without periods: joined without punctuation
+        first, second = (re.sub(r"[.!?…,;:]", "", x) for x in (first, second))
+    gap = "" if glued or first[-1:] in "。！？」』”）" or ord(first[-2:-1] or "a") >= 0x2E80 else " "
+    return next((c.parts for c in candidates(first + gap + second[:80], len(first))), None)
+
+
+def train(texts: Iterable[str | None]) -> Model:
+    """Fit the chain on the joints of lines and the unlabelled candidates within them; order of texts doesn't matter."""
+    joints: Counter[tuple] = Counter()
+    inner: Counter[tuple] = Counter()
+    chains: Counter[tuple] = Counter()
     for text in texts:
-        lines = [x.strip() for x in BREAK.split(text or "") if x.strip() and "\t" not in x and not MARKER.match(x)]
+        lines = _lines(text)
         for line in lines:
-            for c in candidates(line):
-                examples[c.parts, seed_tag(c.parts)] += 1
-        for first, second in zip(lines, lines[1:], strict=False):
-            if re.search(r"[ก-๎]", first + second):  # a script without periods: joined without punctuation
-                first, second = (re.sub(r"[.!?…,;:]", "", x) for x in (first, second))
-            elif not re.search(r"[.!?。！？।]$", first):
-                continue
-            gap = "" if first[-1:] in "。！？」』”）" else " "
-            joined = first + gap + second
-            for c in candidates(joined):
-                if c.end == len(first) and not second[0].islower():
-                    examples[c.parts, True] += 1
-    weights: dict[str, float] = defaultdict(float)
-    squares: dict[str, float] = defaultdict(lambda: 1e-8)
-    rows = [(features(parts), tag, math.log1p(n)) for (parts, tag), n in sorted(examples.items(), key=repr)]
-    for _ in range(rounds):
-        for names, tag, weight in rows:
-            z = sum(weights[f] for f in names)
-            gradient = weight * ((1 / (1 + math.exp(-max(-30.0, min(30.0, z))))) - tag)
-            for f in names:
-                g = gradient + penalty * weights[f]
-                squares[f] += g * g
-                weights[f] -= rate * g / math.sqrt(squares[f])
-    return Model({f: round(w, 4) for f, w in weights.items() if abs(w) > 1e-3}, near=-4.0)
+            found = candidates(line)
+            inner.update(c.parts for c in found)
+            chains.update((b.end - a.end <= Model.NEAR, a.parts, b.parts) for a, b in zip(found, found[1:], strict=False))
+        for k, first in enumerate(lines):
+            for n, second in enumerate(lines[k + 1 : k + 1 + STARTS]):
+                for glued in (False, True)[: 2 - (n > 0)]:  # typing errors leave the blank out
+                    parts = _joint(first, second, glued)
+                    if parts:
+                        joints[parts] += 1
+    if not joints:
+        return Model({}, NO_LINKS)
+    contexts = sorted({*joints, *inner}, key=repr)
+    index: dict[str, int] = {"": 0}
+    rows = [np.array([0, *(index.setdefault(f, len(index)) for f in features(p))]) for p in contexts]
+    at_joint = np.array([joints[p] for p in contexts], float)
+    within = np.array([inner[p] for p in contexts], float)
+
+    def odds(own: np.ndarray) -> np.ndarray:
+        return np.array([own[r].sum() for r in rows])
+
+    # joints against unlabelled candidates: both halves weigh the same
+    both = [*rows, *rows]
+    halves = np.concatenate([at_joint / at_joint.sum(), within / max(1.0, within.sum())]) * len(contexts)
+    z = odds(_fitted(both, len(index), np.repeat([1.0, 0.0], len(rows)), halves, penalty=0.3))
+    order = np.argsort(z)
+    middle = z[order][np.searchsorted(np.cumsum(at_joint[order]), at_joint.sum() / 2)]
+    tags = np.where(z > middle - NEXT, 1.0, np.where(z < middle - FAR, 0.0, np.nan))
+    for _ in range(ROUNDS):
+        sure = ~np.isnan(tags)
+        weight = np.concatenate([np.log1p(at_joint), np.where(sure, np.log1p(within), 0.0)])
+        own = _fitted(both, len(index), np.concatenate([np.ones(len(rows)), np.where(sure, tags, 0.0)]), weight)
+        z = odds(own)
+        tags = np.where(np.abs(z) > 1, (z > 0).astype(float), np.nan)
+    weights = {f: round(float(own[i]), 4) for f, i in index.items() if abs(own[i]) > 1e-3}
+    return Model(weights, _links(chains, dict(zip(contexts, z > 0, strict=True))))
+
+
+def _links(chains: Counter[tuple], tag: dict[tuple, bool]) -> Links:
+    """Log-ratios of the pairs of tags of neighbours to what the tags by themselves make likely."""
+    out = []
+    for close in (True, False):
+        n = np.full((2, 2), 1.0)
+        for (near, a, b), times in chains.items():
+            if near == close:
+                n[int(tag[a]), int(tag[b])] += times
+        expected = n.sum(axis=1, keepdims=True) * n.sum(axis=0, keepdims=True) / n.sum()
+        out.append(tuple(tuple(round(float(x), 4) for x in row) for row in np.log(n / expected)))
+    return tuple(out)
 
 
 def fit(texts: DataFrame, column: str, key: str, rows: int = SAMPLE_ROWS) -> Model:
@@ -361,10 +384,10 @@ UNIT_ROWS = "word_id bigint, field_name string, item_no int, sent_start int, sen
 
 def unit_rows(items: DataFrame, model: Model) -> DataFrame:
     """Units of items (word_id, field_name, item_no, text) as rows of ``UNIT_ROWS``."""
-    weights, near = model.weights, model.near
+    weights, links = model.weights, model.links
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(weights, near)
+        own = Model(weights, links)
         kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
         names = ["word_id", "field_name", "item_no", "sent_start", "sent_end"]
         for batch in batches:

@@ -106,10 +106,10 @@ PIECES = "word_id bigint, field_name string, item_no int, piece_no int, piece_st
 
 def pieces(items: DataFrame, model: sentences.Model) -> DataFrame:
     """Pieces of the oversized among items (word_id, field_name, item_no, text, size_limit, overlap)."""
-    weights, near = model.weights, model.near
+    weights, links = model.weights, model.links
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sentences.Model(weights, near)
+        own = sentences.Model(weights, links)
         kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
         names = ["word_id", "field_name", "item_no", "piece_no", "piece_start", "fresh_start", "piece_end", "piece"]
         for batch in batches:

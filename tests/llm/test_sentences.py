@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -18,7 +19,10 @@ LINES = [
 
 @pytest.fixture(scope="module")
 def model():
-    return sentences.train(["\n".join(LINES)] * 3 + LINES)
+    """Trained on rows of the smaller table, as the queries do; the texts of these tests aren't among them."""
+    texts = pd.read_parquet("/root/testdata/sf0.01/word_texts.parquet", columns=["text"]).text
+    more = pd.read_parquet("/root/testdata/sf0.1/word_texts.parquet", columns=["text"]).text
+    return sentences.train([*texts.dropna(), *more.dropna()[:2000]])
 
 
 def cut(model, text):
@@ -32,7 +36,7 @@ def cut(model, text):
         ("It rained at 2 a.m. Then we left.", ["It rained at 2 a.m.", "Then we left."]),
         ("样品采自河口。“应避光保存。”的样品已剔除。", ["样品采自河口。", "“应避光保存。”的样品已剔除。"]),
         ("为什么？！（详见第3节！）结束。", ["为什么？！", "（详见第3节！）", "结束。"]),
-        ("One (why? because.) two. “Stop.” The end.", ["One (why? because.) two.", "“Stop.”", "The end."]),
+        ("One (why? because.) two. The label reads “Do not freeze.” The end.", ["One (why? because.) two.", "The label reads “Do not freeze.”", "The end."]),
         ("เราวัดผล อุณหภูมิคงที่ 5 องศา", ["เราวัดผล", "อุณหภูมิคงที่ 5 องศา"]),
         ("soil\t3.5\t4. x\r\n--- Footnotes ---\n  A note. \n\n", ["soil\t3.5\t4. x", "A note."]),
         ("subtracted.By then it was over.", ["subtracted.", "By then it was over."]),
@@ -62,24 +66,39 @@ def test_viterbi_against_all_taggings(model):
         found = sentences.candidates(line)[:8]
         score = [model.score(c.parts) for c in found]
 
+        if len(sentences.candidates(line)) > 8:
+            continue
+
         def value(tags, found=found, score=score):
-            total, place = 0.0, False
+            total = 0.0
             for k, tag in enumerate(tags):
-                if tag:
-                    total += score[k] + (model.near if place and found[k].end - found[k - 1].end <= model.NEAR else 0)
-                place = tag
+                total += score[k] if tag else 0.0
+                if k:
+                    total += model.links[0 if found[k].end - found[k - 1].end <= model.NEAR else 1][int(tags[k - 1])][int(tag)]
             return total
 
         best = max(itertools.product((False, True), repeat=len(found)), key=value) if found else ()
-        short = line[: found[-1].end] + " Z" if found else line
-        assert value(best) == pytest.approx(value([c.end in set(model.decode(line)) for c in found])) or short
-
-
-def test_joined_lines_are_found_again():
-    train, held = LINES * 2, ["Corn grew well. ", "Die Charge war rein. ", "Почва была сухой. "]
-    model = sentences.train(["\n".join(train)])
-    text = "".join(held).strip()
-    assert cut(model, text) == [h.strip() for h in held]
+        assert value(best) == pytest.approx(value([c.end in set(model.decode(line)) for c in found]))
+
+
+def test_held_out_lines_are_found_again(model):
+    """Lines of rows that weren't in the sample, joined as a paragraph would: their ends come out."""
+    texts = pd.read_parquet("/root/testdata/sf0.1/word_texts.parquet", columns=["text"]).text.dropna()[2100:2400]
+    hit = missed = 0
+    for text in texts:
+        lines = [x for x in sentences._lines(text) if x[-1] in ".!?。！？।"]
+        gap = " "
+        for first, second in zip(lines, lines[1:], strict=False):
+            ends = {b for _, b in model.units(first + gap + second)}
+            hit += len(first) in ends
+            missed += len(first) not in ends
+    assert hit > 500 and hit / (hit + missed) > 0.98
+
+
+def test_nothing_to_learn_from():
+    for texts in ([], [None, ""], ["one line"], ["ก ข\tค"]):
+        model = sentences.train(texts)
+        assert model.units("One line. Two") and model.links == sentences.NO_LINKS
 
 
 def test_rows(spark, model):
