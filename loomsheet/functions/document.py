@@ -357,11 +357,22 @@ def _json(v: Val) -> Val:
 @register("EXTEND", 2)
 def _extend(a: Val, b: Val) -> Val:
     """Shallow merge, the right side wins; for structs of known schema."""
-    if not (isinstance(a.dtype, T.StructType) and isinstance(b.dtype, T.StructType)):
+    left, right = _fields(a), _fields(b)
+    if left is None or right is None:
         return scalar(F.map_concat(a.col, b.col), "document")
-    own = {f.name: a.col.getField(f.name) for f in a.dtype.fields} | {f.name: b.col.getField(f.name) for f in b.dtype.fields}
-    kinds = {f.name: f for f in a.dtype.fields} | {f.name: f for f in b.dtype.fields}
-    return Val(F.struct(*[c.alias(n) for n, c in own.items()]), "document", dtype=T.StructType(list(kinds.values())))
+    merged = left | right
+    known = all(v.dtype is not None for v in merged.values())
+    dtype = T.StructType([T.StructField(n, v.dtype) for n, v in merged.items()]) if known else None
+    return Val(F.struct(*[v.col.alias(n) for n, v in merged.items()]), "document", dtype=dtype, literal=list(merged.items()))
+
+
+def _fields(v: Val) -> dict[str, Val] | None:
+    """The fields of a struct of known schema or of a document written out; None for other documents."""
+    if isinstance(v.dtype, T.StructType):
+        return {f.name: Val(v.col.getField(f.name), kind_of(f.dataType), dtype=f.dataType) for f in v.dtype.fields}
+    if v.kind == "document" and isinstance(v.literal, list):
+        return dict(v.literal)
+    return None
 
 
 @register("ITEMS", 1)
@@ -376,15 +387,17 @@ def _concat(a: Val, b: Val) -> Val:
 
 @register("KEYS", 1)
 def _keys(v: Val) -> Val:
-    if isinstance(v.dtype, T.StructType):
-        return sequence(F.array(*[F.lit(f.name) for f in v.dtype.fields]), "string")
+    fields = _fields(v)
+    if fields is not None:
+        return sequence(F.array(*map(F.lit, fields)), "string")
     return sequence(F.json_object_keys(v.col.cast("string")) if v.kind in ("variant", "string") else F.map_keys(v.col), "string")
 
 
 @register("VALUES", 1)
 def _values(v: Val) -> Val:
-    if isinstance(v.dtype, T.StructType):
-        return sequence(F.array(*[v.col.getField(f.name).cast("string") for f in v.dtype.fields]), "string")
+    fields = _fields(v)
+    if fields is not None:
+        return sequence(F.array(*[f.col.cast("string") for f in fields.values()]), "string")
     return sequence(F.map_values(v.col))
 
 

@@ -7,6 +7,8 @@ paragraphs, so that paragraph operators see them.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 import re
 import unicodedata
 from dataclasses import dataclass, field
@@ -399,15 +401,20 @@ def merge(df: DataFrame, key: str = "id", order: str = "imported_at") -> DataFra
 
 # --- ranking -----------------------------------------------------------------------------------------
 
-#: weights of coverage, field match, citations, recency and sources in the profiles
-PROFILES = {"balanced": (0.35, 0.25, 0.15, 0.15, 0.10), "recent": (0.25, 0.20, 0.05, 0.45, 0.05), "cited": (0.25, 0.15, 0.45, 0.10, 0.05)}
+#: fixed values: weights of coverage, field match, citations, recency and sources in the profiles
+PROFILES = {
+    "default": (0.45, 0.20, 0.15, 0.15, 0.05),
+    "recent": (0.45, 0.20, 0.05, 0.25, 0.05),
+    "classic": (0.35, 0.20, 0.35, 0.05, 0.05),
+}
 
 
-def rank(df: DataFrame, query: str, profile: str = "balanced", limit: int = 100, now: int = 2025) -> DataFrame:
-    """Records with a ``score`` in 0 to 1, the best first: by score, citations, year, then title."""
+def rank(df: DataFrame, query: str, profile: str = "default", limit: int = 100, now: int | None = None) -> DataFrame:
+    """Records with a ``score`` in 0 to 1, the best first: by score, citations, year, then title; ``now`` is this year if not given."""
+    now = datetime.now(timezone.utc).year if now is None else now
     wanted = [normal(t.text) for t in terms(Query(query).tree) if t.text]
     everything = normalized(field_text(df, "SU"))
-    coverage = sum((everything.contains(w).cast("double") for w in wanted), F.lit(0.0)) / max(1, len(wanted))
+    coverage = sum((everything.contains(w).cast("double") for w in wanted), F.lit(0.0)) / len(wanted) if wanted else F.lit(1.0)
     fields = [normalized(field_text(df, f)) for f in ("TI", "KY", "AB", "AU", "JN")]
     matched = sum((F.greatest(*[f.contains(w).cast("double") for w in wanted], F.lit(0.0)) for f in fields), F.lit(0.0)) / 5
     cited = F.least(F.log10(F.coalesce(F.col("citation_count"), F.lit(0)) + 1) / 3, F.lit(1.0))

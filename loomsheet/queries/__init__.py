@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("problems", "document", "spreadsheet", "analysis")
+MODULES = ("problems", "document", "spreadsheet", "functions", "analysis")
 
 
 def _modules():

@@ -146,6 +146,28 @@ docsql(
 )
 
 
+docsql(
+    "docfn_values",
+    "SELECT { k: o_orderkey, f: FIRST([o_custkey, 1]), l: LAST([1, o_custkey]), lt: LTRIM(' a '), rt: RTRIM(' a '), i: INT(o_custkey), g: LONG(o_custkey), b: BOOL('true'), d: DOUBLE(DECIMAL('12.5')), r: RANDOM() >= 0, s: RANDOM(3, 7) >= 3 } FROM orders",
+    "SELECT o_orderkey AS k, o_custkey AS f, o_custkey AS l, 'a ' AS lt, ' a' AS rt, o_custkey::INT AS i, o_custkey::BIGINT AS g, true AS b, 12.5::DOUBLE AS d, true AS r, true AS s FROM orders",
+)
+docsql(
+    "docfn_kinds",
+    "SELECT { k: o_orderkey, long: IS_INT64(LONG(o_custkey)), long2: IS_LONG(INT(o_custkey)), int: IS_INT(INT(o_custkey)), double: IS_DOUBLE(o_totalprice), dec: IS_DECIMAL(DECIMAL('1.5')), arr: IS_ARRAY([1, 2]), bin: IS_BINARY(o_comment), oid: IS_OBJECTID(o_custkey), bool: IS_BOOLEAN(1 = 1), bool2: IS_BOOL(o_custkey), date: IS_DATE(o_orderdate), low: IS_MINVALUE(MINVALUE()), high: IS_MAXVALUE(o_custkey), doc: IS_DOCUMENT({ a: 1 }) } FROM orders",
+    "SELECT o_orderkey AS k, true AS long, false AS long2, true AS int, true AS double, true AS dec, true AS arr, false AS bin, false AS oid, true AS bool, false AS bool2, true AS date, true AS low, false AS high, true AS doc FROM orders",
+)
+docsql(
+    "docfn_times",
+    "SELECT { k: o_orderkey, later: NOW() > o_orderdate, utc: NOW_UTC() > o_orderdate, today: TODAY() > o_orderdate, y: YEAR(DATE(2020, 2, 3)), m: MONTH(DATE_UTC(2020, 2, 3)), d: DAY(DATETIME_UTC(2020, 2, 3)), same: TO_UTC(TO_LOCAL(o_orderdate)) = o_orderdate, text: YEAR(DATE('2021-05-06')), text2: YEAR(DATETIME_UTC('2021-05-06')) } FROM orders",
+    "SELECT o_orderkey AS k, true AS later, true AS utc, true AS today, 2020::INT AS y, 2::INT AS m, 3::INT AS d, true AS same, 2021::INT AS text, 2021::INT AS text2 FROM orders",
+)
+docsql(
+    "docfn_documents",
+    "SELECT { k: o_orderkey, items: COUNT(ITEMS([o_custkey, 2, 3])), names: JOIN(KEYS({ a: o_custkey, b: 2 }), '-'), sum: SUM(VALUES({ a: o_custkey, b: 2 })), more: EXTEND({ a: 1 }, { b: o_custkey }).b } FROM orders",
+    "SELECT o_orderkey AS k, 3::BIGINT AS items, 'a-b' AS names, (o_custkey + 2)::DOUBLE AS sum, o_custkey AS more FROM orders",
+)
+
+
 @query("SELECT (json_extract_string(props, '$.k'))::VARCHAR AS k, count(*) AS n FROM events GROUP BY 1")
 def docfn_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A path into semi-structured text, by VARIANT."""
