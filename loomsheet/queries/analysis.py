@@ -216,11 +216,11 @@ def store_dangling(spark, sf_dir):
     return edges.join(_papers(spark, sf_dir).select(F.col("id").alias("target_id")), "target_id", "left_anti").select("id").distinct()
 
 
-@query("SELECT DISTINCT id, target_kind, target_id FROM relationships WHERE source_kind = 'run' AND source_id = (SELECT min(source_id) FROM relationships WHERE source_kind = 'run')")
+@query("SELECT DISTINCT id, target_kind, target_id FROM relationships WHERE source_kind = 'paper' AND source_id = (SELECT min(source_id) FROM relationships WHERE source_kind = 'paper')")
 def store_outgoing(spark, sf_dir):
     edges = load(spark, sf_dir, "relationships")
-    first = edges.filter("source_kind = 'run'").agg(F.min("source_id")).first()[0]
-    return store.outgoing(edges, "run", first).select("id", "target_kind", "target_id")
+    first = edges.filter("source_kind = 'paper'").agg(F.min("source_id")).first()[0]
+    return store.outgoing(edges, "paper", first).select("id", "target_kind", "target_id")
 
 
 @query("SELECT DISTINCT id, source_kind, source_id FROM relationships WHERE target_kind = 'document' AND target_id = (SELECT min(target_id) FROM relationships WHERE target_kind = 'document')")
@@ -382,8 +382,7 @@ def graph_levels(spark, sf_dir):
 
 @query()
 def graph_feedback(spark, sf_dir):
-    lines = load(spark, sf_dir, "lineitem")
-    return graph.feedback_edges(lines.select((F.col("l_suppkey") % 97).alias("src"), (F.col("l_partkey") % 97).alias("dst")).distinct())
+    return graph.feedback_edges(_links(spark, sf_dir))
 
 
 @query()

@@ -45,8 +45,8 @@ docsql("docsql_seek", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_order
 docsql("docsql_in", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ['building', 'MACHINERY']", "SELECT c_custkey, c_mktsegment FROM customer WHERE lower(c_mktsegment) IN ('building', 'machinery')")
 docsql("docsql_range", "SELECT p_partkey, p_size FROM part WHERE p_size >= 10 AND p_size < 20", "SELECT p_partkey, p_size FROM part WHERE p_size >= 10 AND p_size < 20")
 docsql("docsql_between", "SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 5 AND 9", "SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 5 AND 9")
-docsql("docsql_like_prefix", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'a%'", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE 'a%'")
-docsql("docsql_like_inner", "SELECT p_partkey, p_type FROM part WHERE p_type LIKE '%steel_'", "SELECT p_partkey, p_type FROM part WHERE p_type ILIKE '%steel_'")
+docsql("docsql_like_prefix", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE 's%'", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE 's%'")
+docsql("docsql_like_inner", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%bol_'", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%bol_'")
 docsql("docsql_not_equal", "SELECT n_name FROM nation WHERE n_regionkey != 2", "SELECT n_name FROM nation WHERE n_regionkey IS DISTINCT FROM 2")
 docsql("docsql_null_order", "SELECT id, pub_year FROM papers WHERE pub_year < 2005", "SELECT id, pub_year FROM papers WHERE pub_year IS NULL OR pub_year < 2005")
 docsql("docsql_null_equal", "SELECT id FROM papers WHERE pub_year = NULL", "SELECT id FROM papers WHERE pub_year IS NULL")
@@ -241,9 +241,9 @@ def set_concat(spark, sf_dir):
     return load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")).union(load(spark, sf_dir, "customer").select("c_custkey"))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT s_suppkey FROM supplier")
 def set_except(spark, sf_dir):
-    return load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(load(spark, sf_dir, "orders").select("o_custkey"))
+    return load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(load(spark, sf_dir, "supplier").select("s_suppkey"))
 
 
 @query("SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders")

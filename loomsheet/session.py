@@ -21,7 +21,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if not (spark.sparkContext.master + "[").startswith("local["):  # local-cluster is a cluster
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         named = os.path.join(tempfile.gettempdir(), "loomsheet-checkpoints")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():

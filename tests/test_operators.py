@@ -217,3 +217,35 @@ def test_streams(spark, tmp_path):
     assert {r.key: (r.size, r.all_lo, r.all_hi) for r in out} == {k: (5, float(k), float(57 + k)) for k in range(3)}
     bars = {r.bin: r["count"] for r in streaming.run_once(streaming.running_histogram(stream, "v", 0, 60, 6)).collect()}
     assert bars == dict.fromkeys(range(6), 10)
+
+
+def test_nearest_of_against_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)], "clash") for i in range(120)]
+    rows += [(200, [0.0] * 4, "zero"), (201, None, "null"), (202, rows[3][1], "copy"), (203, rows[3][1], "copy")]
+    df = spark.createDataFrame(rows, "id bigint, vector array<double>, score string")
+    held = [(i, v) for i, v, _ in rows if v]
+
+    def cosine(a, b):
+        size = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return None if size == 0 else round(sum(x * y for x, y in zip(a, b, strict=True)) / size, 6)
+
+    for metric, k in (("cosine", 5), ("euclidean", 3)):
+        got = {}
+        for r in vector.nearest_of(df, df.filter("id % 50 = 0"), k, metric, block=16).collect():
+            got.setdefault(r.query_id, []).append((r.score, r.id))
+        for q, v in held:
+            if q % 50:
+                continue
+            scores = [(cosine(v, w) if metric == "cosine" else round(math.dist(v, w), 6), i) for i, w in held]
+            want = sorted(((s, i) for s, i in scores if s is not None), key=lambda x: (-x[0] if metric == "cosine" else x[0], x[1]))[:k]
+            assert sorted(got.get(q, [])) == sorted(want)
+    assert vector.nearest_of(df.limit(0), df, 3).count() == 0 and vector.nearest_of(df, df.limit(0), 3).count() == 0
+
+
+def test_feedback_edges_without_and_with_cycles(spark):
+    chain = [(i, i + 1) for i in range(1, 9)] + [(3, 9), (5, 5)]
+    assert graph.feedback_edges(spark.createDataFrame(chain, "src bigint, dst bigint")).count() == 0
+    cycles = [*chain, (9, 7), (9, 20), (20, 21), (4, 1), (4, 1)]
+    got = {tuple(r) for r in graph.feedback_edges(spark.createDataFrame(cycles, "src bigint, dst bigint")).collect()}
+    assert got == {(4, 1), (9, 7)}
