@@ -305,10 +305,12 @@ class Repairer:
 
     STORE = 100_000
 
-    def __init__(self, models: ppm.Models, pairs: tuple[tuple[str, str], ...] = PAIRS):
-        self.models, self.pairs = models, pairs
+    def __init__(self, models: ppm.Models, pairs: tuple[tuple[str, str], ...] = PAIRS, expansions: int | None = None):
+        """All ``pairs`` until the search ends; or at most ``expansions`` texts a piece and no span alone, for those who need the language only."""
+        self.models, self.pairs, self.expansions = models, pairs, expansions
         self.known: dict[str, tuple[str, bool]] = {}
         self.letters: dict[str, float] = {}
+        self.odd: dict[str, bool] = {}
 
     def _extra(self, text: str) -> float:
         """Bits for characters the models have never seen, that print nothing or are lost."""
@@ -399,10 +401,11 @@ class Repairer:
         best = sure = (0.0, piece, True)
         queue: list[tuple[float, int, bool, bool, str]] = [(0.0, 0, True, False, piece)]
         visited = {hash(piece)}
-        serial, idle = 0, 0
-        while queue and idle <= PATIENCE:
+        serial, idle, done = 0, 0, 0
+        while queue and idle <= PATIENCE and done != self.expansions:
+            done += 1
             spent, _, pure, firm, text = heapq.heappop(queue)
-            odd = self.unlikely([text])[0]
+            odd = self._odd(text)
             if serial and spent <= best[0] and (firm or not odd) and not _signed(text):
                 break  # the cheapest text, and nothing in it asks for a repair any more; other codecs could only bend what whole sequences gave
             idle += spent > best[0]
@@ -413,7 +416,7 @@ class Repairer:
             failed: list = []
             # whole UTF-8 sequences are evidence by themselves and come first; spans alone are for texts that nothing else improves
             for step in ("utf-8", "other", "alone"):
-                if step == "alone" and found or step != "utf-8" and not odd:
+                if step == "alone" and (found or self.expansions) or step != "utf-8" and not odd:
                     break
                 if step == "alone":
                     groups = [(pair, [s]) for pair, some in failed if len(some) > 1 for s in some]
@@ -454,7 +457,12 @@ class Repairer:
         return [(best[1], -best[0], best[2]), (sure[1], -sure[0], True)]
 
     def _open(self, text: str) -> bool:
-        return _signed(text) or self.unlikely([text])[0]
+        return _signed(text) or self._odd(text)
+
+    def _odd(self, text: str) -> bool:
+        if text not in self.odd:
+            self.odd[text] = self.unlikely([text])[0]
+        return self.odd[text]
 
     def _judge(self, piece: str) -> tuple[str, bool]:
         lost = bool(LOST.search(piece))
@@ -471,7 +479,7 @@ class Repairer:
             if text == piece or saved <= (STRICT if strict else SAVED):
                 continue
             # without a strict code to vouch for it, what comes out must be likely text, or much likelier
-            if strict or not self.unlikely([text])[0]:
+            if strict or not self._odd(text):
                 return text
             a, b = _ends(piece, text)
             if saved > MUCH * self.costs([piece[max(0, a - CONTEXT) : len(piece) - b + CONTEXT]])[0]:
@@ -487,7 +495,9 @@ class Repairer:
         new = [p for p in new if p not in self.known]
         for a in range(0, len(new), 2048):
             part = new[a : a + 2048]
-            for p, odd in zip(part, self.unlikely(part), strict=True):
+            self.odd = dict(zip(part, self.unlikely(part), strict=True))
+            for p in part:
+                odd = self.odd[p]
                 searched = odd or _signed(p) or LOST.search(p)
                 self.known[p] = self._judge(p) if searched else (p, False)
 
