@@ -142,6 +142,21 @@ def test_space(spark):
     assert [(h.x, h.y) for h in hull] == [(0, 0), (4, 0), (4, 4), (0, 4)]
 
 
+def test_range_join_shuffles_ids_and_not_pairs(spark):
+    """Equal envelopes go through the join as one row, so pairs aren't rows of the join; null ids and empty sides stay right."""
+    kind = "id bigint, e struct<min_x double, min_y double, max_x double, max_y double>"
+    a = [(i if i else None, (float(i % 3), 0.0, i % 3 + 0.5, 0.5)) for i in range(30)] + [(99, None)]
+    b = [(i if i else None, (i % 4 + 0.25, 0.25, i % 4 + 5.0, 0.75)) for i in range(400)] + [(99, (None, 0.0, 1.0, 1.0))]
+    pairs = spatial.intersection_join(spark.createDataFrame(a, kind).coalesce(1), spark.createDataFrame(b, kind).coalesce(1), 2.0)
+    text = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("MapInArrow") < text.index("Join") < text.index("collect_list")
+    key = lambda x: tuple((v is not None, v or 0) for v in x)
+    want = sorted(((i, j) for i, p in a for j, q in b if p and q[0] is not None and p[0] <= q[2] and p[2] >= q[0] and p[1] <= q[3] and p[3] >= q[1]), key=key)
+    assert want and sorted((tuple(x) for x in pairs.collect()), key=key) == want
+    few, many = spark.createDataFrame(a, kind), spark.createDataFrame(b, kind)
+    assert spatial.intersection_join(few.limit(0), many, 2.0).count() == spatial.intersection_join(few, many.limit(0), 2.0).count() == 0
+
+
 PAPER = "id string, title string, title_zh string, abstract string, keywords string, authors string, journal string, normalized_doi string, pub_year int, citation_count int, retrieved_from string, imported_at string"
 
 
