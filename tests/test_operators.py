@@ -157,6 +157,27 @@ def test_range_join_shuffles_ids_and_not_pairs(spark):
     assert spatial.intersection_join(few.limit(0), many, 2.0).count() == spatial.intersection_join(few, many.limit(0), 2.0).count() == 0
 
 
+def test_nearest_points_meet_few_others(spark):
+    """As by brute force: places shared by many points, clusters, places far apart, distances that round alike; dense places are met in part."""
+    r = random.Random(9)
+    places = [(i, r.gauss(0, 1), r.gauss(0, 1)) for i in range(150)] + [(i, 500 + r.random() / 100, 7.0) for i in range(150, 250)] + [(i, 3.0, 4.0) for i in range(250, 300)]
+    places += [(300, 1e6, -1e6), (301, 3.0, 4.0000001), (1000, 3.0, 4.0000002), (303, None, 1.0), (304, float("nan"), 1.0), (305, 1.0, float("inf"))]
+    df = spark.createDataFrame(places, "id bigint, x double, y double")
+    held = [p for p in places if None not in p and all(map(math.isfinite, p[1:]))]
+    for k in (1, 7, 400):
+        got = {}
+        for row in spatial.nearest_of(df, df.filter("id % 20 = 0"), k).collect():
+            got.setdefault(row.query_id, []).append((row.score, row.id))
+        for q, x, y in held:
+            if q % 20 == 0:
+                assert sorted(got.pop(q)) == sorted((round(math.dist((x, y), (a, b)), 6), i) for i, a, b in held)[:k]
+        assert not got
+    assert spatial.nearest_of(df.limit(0), df, 3).count() == spatial.nearest_of(df, df.limit(0), 3).count() == 0
+    wide = spark.range(40_000).select("id", (F.col("id") % 200).cast("double").alias("x"), F.floor(F.col("id") / 200).cast("double").alias("y"))
+    text = spatial.nearest_of(wide, wide.filter("id % 400 = 0"), 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in text and "level" in text[text.index("Join Inner") :].splitlines()[0]
+
+
 PAPER = "id string, title string, title_zh string, abstract string, keywords string, authors string, journal string, normalized_doi string, pub_year int, citation_count int, retrieved_from string, imported_at string"
 
 
