@@ -2,9 +2,9 @@
 
 Per-language byte context trees (``ppm``) score the exact code length of each piece of text; the
 language is the one with the shortest code, and its confidence the posterior ``2^-bits`` over all
-languages.  The models are trained on a bounded sample of labelled rows (``SAMPLE_ROWS`` rows and
-``TRAIN_BYTES`` bytes a language); labels being wrong in part, pieces are labelled
-anew by the words that the rows of each label share.
+languages.  ``fit`` trains the models on a bounded sample of labelled rows (``SAMPLE_ROWS`` rows and
+``TRAIN_BYTES`` bytes a language), ``fit_all`` on all rows; labels being wrong in part, pieces are
+labelled anew by the words that the rows of each label share.
 
 Rows are first cut into pieces at plain sentence ends and line breaks.  Where all pieces with
 evidence agree, that is the row's language.  Other rows are cut into sentence units by the model of
@@ -20,7 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from loomsheet.llm import mojibake, ppm, sentences
 from loomsheet.llm.canonical import canonical_batch
-from loomsheet.llm.sampling import bounded
+from loomsheet.llm.sampling import bounded, spread
+from loomsheet.session import checkpoint
 
 SAMPLE_ROWS = 5_000
 TRAIN_BYTES = 120_000
@@ -232,6 +233,26 @@ def _words(piece: str) -> set[str]:
     return set(_TOKEN.findall(piece))
 
 
+def _teaching(text: str | None) -> list[str]:
+    """The pieces of a text that models may learn from."""
+    return [p for p in cut((text or "").lower()) if len(p) > 3 and not _CODE.search(p) and not _GARBLED.search(p) and not _DIRTY.search(p) and _WORD.search(p)]
+
+
+def _logs(held: dict[str, list[int]], sizes: np.ndarray) -> dict[str, np.ndarray]:
+    """Logarithms of the shares of rows of each label that hold a word."""
+    return {w: np.log((np.array(n) + 0.2) / (sizes + 1)) for w, n in held.items()}
+
+
+def _anew(piece: str, words: set[str], logs: dict[str, np.ndarray], codes: list[str]) -> str | None:
+    """The language of a piece by its words, where they tell."""
+    if not words:
+        return None
+    score = np.sum([logs[w] for w in words], axis=0)
+    may = [i for i, c in enumerate(codes) if c not in _OWN_SCRIPT or _OWN_SCRIPT[c].search(piece)]
+    order = sorted(may, key=lambda i: -score[i])
+    return codes[order[0]] if order and (len(order) == 1 or score[order[0]] - score[order[1]] > 1) else None
+
+
 def train(rows: list[tuple[str | None, str | None]]) -> ppm.Models:
     """Models from (label, text) rows with partly wrong labels; the order of rows fixes the result.
 
@@ -241,8 +262,7 @@ def train(rows: list[tuple[str | None, str | None]]) -> ppm.Models:
     """
     documents: list[tuple[str, list[tuple[str, set[str]]]]] = []
     for label, text in rows:
-        code = label_language(label)
-        pieces = [p for p in cut((text or "").lower()) if len(p) > 3 and not _CODE.search(p) and not _GARBLED.search(p) and not _DIRTY.search(p) and _WORD.search(p)]
+        code, pieces = label_language(label), _teaching(text)
         if code and pieces:
             documents.append((code, [(p, _words(p)) for p in pieces]))
     total = Counter(code for code, _ in documents)
@@ -253,17 +273,12 @@ def train(rows: list[tuple[str | None, str | None]]) -> ppm.Models:
         for word in set().union(*(w for _, w in pieces)):
             held.setdefault(word, [0] * len(codes))[place] += 1
     sizes = np.array([total[c] for c in codes])
-    logs = {w: np.log((np.array(n) + 0.2) / (sizes + 1)) for w, n in held.items()}
+    logs = _logs(held, sizes)
     found: list[tuple[int, str, str]] = []
     for row, (_, pieces) in enumerate(documents):
         for piece, words in pieces:
-            if not words:
-                continue
-            score = np.sum([logs[w] for w in words], axis=0)
-            may = [i for i, c in enumerate(codes) if c not in _OWN_SCRIPT or _OWN_SCRIPT[c].search(piece)]
-            order = sorted(may, key=lambda i, score=score: -score[i])
-            if order and (len(order) == 1 or score[order[0]] - score[order[1]] > 1):
-                found.append((row, codes[order[0]], piece))
+            if code := _anew(piece, words, logs, codes):
+                found.append((row, code, piece))
     return _fit_pieces(_usual(found))
 
 
@@ -282,13 +297,17 @@ def _usual(found: list[tuple[int, str, str]]) -> list[tuple[str, str]]:
             own[pair].add(row)
     out = []
     for _, code, piece in found:
-        pairs = _pairs(piece)
-        least = 2 + len(rows[code]) / 100
-        if sum(len(held[code][p]) < least for p in pairs) <= len(pairs) / 5:
+        if _plausible(piece, {p: len(held[code][p]) for p in _pairs(piece)}, len(rows[code])):
             out.append((code, piece))
     return out
 
 
+def _plausible(piece: str, held: dict[str, int], rows: int) -> bool:
+    """Whether most pairs of a piece are held by more than a few of the rows of its language."""
+    pairs = _pairs(piece)
+    return sum(held.get(p, 0) < 2 + rows / 100 for p in pairs) <= len(pairs) / 5
+
+
 def _pairs(piece: str) -> set[str]:
     """Neighbouring characters of which one at least is beyond ASCII."""
     return set() if piece.isascii() else {a + b for a, b in zip(piece, piece[1:], strict=False) if a > "\x7f" or b > "\x7f"}
@@ -324,6 +343,110 @@ def fit(table: DataFrame, key: str, text: str = "text", label: str = "lang", row
     return train([(r[label], r[text]) for r in bounded(named, key, [label, text], rows).collect()])
 
 
+def fit_all(table: DataFrame, text: str = "text", label: str = "lang") -> ppm.Models:
+    """Models from all labelled rows, and from each piece once, however many bytes a language has.
+
+    As ``train`` does, in steps that each pass over the rows in Arrow batches and add up counts by key:
+    words by label, pairs of characters and pieces by language, byte strings by language. What goes to
+    the driver and the workers is counts of words, pairs and byte strings, of which texts of a language
+    repeat most; texts don't.
+    """
+    spark = table.sparkSession
+    rows = spread(table.filter(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text")))
+    counts = "kind string, code string, what string, shown string, n bigint"
+    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
+
+    def batch_of(held: dict[tuple[str, str, str], list]) -> pa.RecordBatch:
+        columns = [*zip(*held, strict=True)] if held else [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip([*columns, [v[0] for v in held.values()], [v[1] for v in held.values()]], kinds, strict=True)], names=["kind", "code", "what", "shown", "n"])
+
+    def gather(of: Callable[[str, list[str]], Iterator[tuple[str, str, str, str | None]]]) -> DataFrame:
+        """Counts of what ``of`` gives for a label's language and pieces, added up in each task first."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[tuple[str, str, str], list] = {}
+            for batch in batches:
+                for name, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    code, pieces = label_language(name), _teaching(own)
+                    for kind, c, what, shown in of(code, pieces) if code and pieces else ():
+                        entry = held.setdefault((kind, c, what), [shown, 0])
+                        entry[1] += 1
+                        if shown is not None and shown < entry[0]:
+                            entry[0] = shown
+                    if len(held) > 100_000:
+                        yield batch_of(held)
+                        held = {}
+            yield batch_of(held)
+
+        return rows.mapInArrow(run, counts).groupBy("kind", "code", "what").agg(F.min("shown").alias("shown"), F.sum("n").alias("n"))
+
+    def words(code: str, pieces: list[str]) -> Iterator[tuple[str, str, str, None]]:
+        yield "row", code, "", None
+        for word in set().union(*map(_words, pieces)):
+            yield "word", code, word, None
+
+    def told(df: DataFrame) -> list[tuple[str, str, int]]:
+        counted = df.select("code", "what", "n").toArrow()
+        return list(zip(*(c.to_pylist() for c in counted.columns), strict=True))
+
+    by_label = told(gather(words))
+    total = {code: n for code, word, n in by_label if not word}
+    codes = sorted(total)
+    sizes = np.array([total[c] for c in codes])
+    held: dict[str, list[int]] = {}
+    for code, word, n in by_label:
+        if word:
+            held.setdefault(word, [0] * len(codes))[codes.index(code)] = n
+    shared = spark.sparkContext.broadcast((held, sizes))
+    known: dict[str, dict] = {}
+
+    def pieces_of(_: str, pieces: list[str]) -> Iterator[tuple[str, str, str, str | None]]:
+        if not known:
+            known.update(logs=_logs(*shared.value), anew={})
+        if len(known["anew"]) > Identifier.STORE:
+            known["anew"] = {}
+        pairs: dict[str, set[str]] = {}
+        for piece in pieces:
+            if piece not in known["anew"]:
+                known["anew"][piece] = _anew(piece, _words(piece), known["logs"], codes)
+            if code := known["anew"][piece]:
+                pairs.setdefault(code, set()).update(_pairs(piece))
+                yield "piece", code, _LOT.sub("0", piece), piece
+        for code, own in pairs.items():
+            yield "row", code, "", None
+            for pair in own:
+                yield "pair", code, pair, None
+
+    found = checkpoint(gather(pieces_of))
+    usual: dict[str, dict[str, int]] = {c: {} for c in CODES}
+    for code, pair, n in told(found.filter("kind != 'piece'")):
+        usual[code][pair] = n
+    judged = spark.sparkContext.broadcast(usual)
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chosen: dict[str, list[bytes]] = {}
+            for code, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if _plausible(piece, judged.value[code], judged.value[code].get("", 0)):
+                    chosen.setdefault(code, []).append(piece.encode("utf-8", "replace"))
+            for code, own in chosen.items():
+                for length, (keys, n) in enumerate(ppm.counted(own)):
+                    yield pa.RecordBatch.from_arrays([pa.array([CODES.index(code)] * len(keys), pa.int32()), pa.array([length] * len(keys), pa.int32()), pa.array(keys.astype(np.int64)), pa.array(n)], names=["place", "length", "string", "n"])
+
+    grams = found.filter("kind = 'piece'").select("code", "shown").mapInArrow(strings, "place int, length int, string bigint, n bigint").groupBy("place", "length", "string").agg(F.sum("n").alias("n"))
+    table_of = grams.toArrow()
+    place, length, string, n = (table_of.column(c).to_numpy() for c in ("place", "length", "string", "n"))
+    by_length = []
+    for size in range(ppm.ORDER + 2):
+        own = []
+        for c in range(len(CODES)):
+            at = np.flatnonzero((place == c) & (length == size))
+            at = at[np.argsort(string[at])]
+            own.append((string[at].astype(np.uint64), n[at]))
+        by_length.append(own)
+    return ppm.Models.of_counts(CODES, by_length)
+
+
 LANGUAGE_ROWS = "rec_table string, rec_id bigint, segment_no int, lang string, confidence double, label_right boolean"
 
 

@@ -80,6 +80,18 @@ def _key(packed: np.ndarray, n: int) -> np.ndarray:
     return (packed & _mask(n)) | np.uint64(n << 56)
 
 
+def counted(pieces: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(byte strings, counts) of each length from 0, where there are none, to ORDER + 1 bytes."""
+    data = np.frombuffer(PAD + b"".join(p + PAD for p in pieces), np.uint8)
+    own = np.ones(len(data), bool)  # the padding is context, not text
+    own[: len(PAD)] = False
+    ends = np.cumsum([len(PAD), *(len(p) + len(PAD) for p in pieces)])[1:]
+    for back in range(1, len(PAD) + 1):
+        own[ends - back] = False
+    packed = _packed(data)[own]
+    return [(packed[:0], np.zeros(0, np.int64)), *(np.unique(packed & _mask(n), return_counts=True) for n in range(1, ORDER + 2))]
+
+
 class Models:
     """Frozen statistics of all classes; ``bits`` gives exact code lengths."""
 
@@ -96,17 +108,11 @@ class Models:
     @classmethod
     def train(cls, pieces: dict[str, list[bytes]]) -> Models:
         classes = sorted(pieces)
-        grams: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(ORDER + 2)]
-        for name in classes:
-            data = np.frombuffer(PAD + b"".join(p + PAD for p in pieces[name]), np.uint8)
-            own = np.ones(len(data), bool)  # the padding is context, not text
-            own[: len(PAD)] = False
-            ends = np.cumsum([len(PAD), *(len(p) + len(PAD) for p in pieces[name])])[1:]
-            for back in range(1, len(PAD) + 1):
-                own[ends - back] = False
-            packed = _packed(data)
-            for n in range(1, ORDER + 2):
-                grams[n].append(np.unique(packed[own] & _mask(n), return_counts=True))
+        return cls.of_counts(classes, list(zip(*(counted(pieces[name]) for name in classes), strict=True)))
+
+    @classmethod
+    def of_counts(cls, classes: list[str], grams: list[list[tuple[np.ndarray, np.ndarray]]]) -> Models:
+        """Models from (sorted byte strings, counts) by length, from 0 to ORDER + 1 bytes, and class."""
         width = len(classes)
         shorter_keys = np.zeros(1, np.uint64)
         shorter = np.full((1, width), 8.0)

@@ -120,7 +120,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def repaired_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = load(spark, sf_dir, "documents")
-    return mojibake.repaired_rows(spread(documents.select("doc_id", "text")), language.fit(documents, "doc_id"))
+    return mojibake.repaired_rows(spread(documents.select("doc_id", "text")), language.fit_all(documents))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

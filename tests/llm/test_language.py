@@ -110,3 +110,31 @@ def test_garbled_rows_are_restored_first(models):
     text = sentence("ru", rng) + " " + sentence("ru", rng)
     found = language.analyse([[text.encode().decode("latin-1")]], language.Identifier(models), sentences.Model({}, 0.0))
     assert models.classes[found[0][0]] == "ru"
+
+
+def test_all_rows_teach(spark, tmp_path, monkeypatch):
+    """The models of problem 9 are those of all labelled rows and all their bytes, without a sample."""
+    rng = random.Random(6)
+    rows = [(i, rng.choice([lang] * 9 + ["en"]), " ".join(sentence(lang, rng) for _ in range(4))) for i, lang in enumerate(list(WORDS) * 40)]
+    rows += [(900, None, "no label here."), (901, "en", None), (902, "??", "no language of a label."), rows[0]]
+    df = spark.createDataFrame(rows, "doc_id bigint, lang string, text string").repartition(3)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = language.fit_all(df)
+    with monkeypatch.context() as m:
+        m.setattr(language, "TRAIN_BYTES", 1 << 40)
+        want = language.train([(label, text) for _, label, text in rows])
+    assert got.classes == want.classes and sorted(got.keys.tolist()) == sorted(want.keys.tolist())
+    probe = [sentence(lang, rng).lower().encode() for lang in WORDS]
+    assert got.bits(probe) == pytest.approx(want.bits(probe))
+    empty = language.fit_all(df.limit(0))
+    assert empty.classes == want.classes and len(empty.bits([b"abc"])) == 1
+
+    def sampled(*_):
+        raise AssertionError("a sample")
+
+    monkeypatch.setattr(language, "bounded", sampled)
+    garbled = sentence("ru", rng).encode().decode("latin-1")
+    spark.createDataFrame([*rows, (950, "ru", garbled)], "doc_id bigint, lang string, text string").write.parquet(f"{tmp_path}/more/documents.parquet")
+    from loomsheet.llm import queries
+
+    assert [r.doc_id for r in queries.p9_found(spark, f"{tmp_path}/more").collect()] == [950]
