@@ -18,6 +18,7 @@ of sentences are settled by length in bytes, then by the code of the language; t
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
@@ -235,7 +236,68 @@ def _words(piece: str) -> set[str]:
 
 def _teaching(text: str | None) -> list[str]:
     """The pieces of a text that models may learn from."""
-    return [p for p in cut((text or "").lower()) if len(p) > 3 and not _CODE.search(p) and not _GARBLED.search(p) and not _DIRTY.search(p) and _WORD.search(p)]
+    return [p for p in cut((text or "").lower()) if _teaches(p)]
+
+
+def _teaches(piece: str) -> bool:
+    # the signs of garbling and of other forms are all beyond ASCII, or beside such a character
+    return len(piece) > 3 and bool(_WORD.search(piece)) and (piece.isascii() or not _GARBLED.search(piece) and not _DIRTY.search(piece)) and not _CODE.search(piece)
+
+
+class Taught:
+    """What pieces teach, by piece: its words, and in a second pass its language and pairs; bounded, for a worker."""
+
+    STORE = 50_000
+
+    def __init__(self, held: dict[str, list[int]] | None = None, sizes: np.ndarray | None = None, codes: list[str] | None = None):
+        self.codes = codes or []
+        self.place = {w: k for k, w in enumerate(held or ())}
+        self.logs = np.log((np.array(list(held.values())) + 0.2) / (sizes + 1)) if held else np.zeros((0, 1))
+        self.words: dict[str, tuple[str, ...] | None] = {}
+        self.told: dict[str, tuple[str, str, tuple[str, ...]] | None] = {}
+
+    def words_of(self, text: str) -> set[str]:
+        """All words of the pieces of a text that teach."""
+        out: set[str] = set()
+        for piece in cut(text.lower()):
+            if piece not in self.words:
+                if len(self.words) >= self.STORE:
+                    self.words = {}
+                self.words[piece] = tuple(map(sys.intern, _words(piece))) if _teaches(piece) else None
+            if own := self.words[piece]:
+                out.update(own)
+            elif own is not None:
+                out.add("")
+        return out
+
+    def told_of(self, texts: list[str]) -> list[list[tuple[str, str, str, tuple[str, ...]]]]:
+        """(language, piece, piece without lots, pairs) of the pieces of texts whose words tell the language."""
+        cuts = [cut(t.lower()) for t in texts]
+        if len(self.told) >= self.STORE:
+            self.told = {}
+        new = [p for p in dict.fromkeys(p for row in cuts for p in row) if p not in self.told]
+        self.told.update(dict.fromkeys(new))
+        new = [(p, words) for p in new if _teaches(p) and (words := _words(p))]
+        if new:
+            at = np.fromiter((self.place[w] for _, words in new for w in words), np.int64)
+            sizes = np.fromiter((len(words) for _, words in new), np.int64, len(new))
+            scores = np.add.reduceat(self.logs[at], np.cumsum(sizes) - sizes, axis=0)
+            for (piece, _), score, order in zip(new, scores.tolist(), np.argsort(-scores, axis=1, kind="stable").tolist(), strict=True):
+                if code := _clear(piece, score, order, self.codes):
+                    self.told[piece] = code, _LOT.sub("0", piece), tuple(map(sys.intern, _pairs(piece)))
+        return [[(told[0], p, told[1], told[2]) for p in row if (told := self.told[p])] for row in cuts]
+
+
+def _clear(piece: str, score: list[float], order: list[int], codes: list[str]) -> str | None:
+    """The first language in order that a piece may be in by its script, if the next is well behind."""
+    first = None
+    for k in order:
+        if codes[k] in _OWN_SCRIPT and not _OWN_SCRIPT[codes[k]].search(piece):
+            continue
+        if first is not None:
+            return codes[first] if score[first] - score[k] > 1 else None
+        first = k
+    return None if first is None else codes[first]
 
 
 def _logs(held: dict[str, list[int]], sizes: np.ndarray) -> dict[str, np.ndarray]:
@@ -247,10 +309,8 @@ def _anew(piece: str, words: set[str], logs: dict[str, np.ndarray], codes: list[
     """The language of a piece by its words, where they tell."""
     if not words:
         return None
-    score = np.sum([logs[w] for w in words], axis=0)
-    may = [i for i, c in enumerate(codes) if c not in _OWN_SCRIPT or _OWN_SCRIPT[c].search(piece)]
-    order = sorted(may, key=lambda i: -score[i])
-    return codes[order[0]] if order and (len(order) == 1 or score[order[0]] - score[order[1]] > 1) else None
+    score = np.sum([logs[w] for w in words], axis=0).tolist()
+    return _clear(piece, score, sorted(range(len(codes)), key=lambda i: -score[i]), codes)
 
 
 def train(rows: list[tuple[str | None, str | None]]) -> ppm.Models:
@@ -360,16 +420,18 @@ def fit_all(table: DataFrame, text: str = "text", label: str = "lang") -> ppm.Mo
         columns = [*zip(*held, strict=True)] if held else [()] * 3
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip([*columns, [v[0] for v in held.values()], [v[1] for v in held.values()]], kinds, strict=True)], names=["kind", "code", "what", "shown", "n"])
 
-    def gather(of: Callable[[str, list[str]], Iterator[tuple[str, str, str, str | None]]]) -> DataFrame:
-        """Counts of what ``of`` gives for a label's language and pieces, added up in each task first."""
+    def gather(of: Callable[[list[str], list[str]], Iterator[tuple[str, str, str, str | None]]]) -> DataFrame:
+        """Counts of what ``of`` gives for the languages of labels and the texts, added up in each task first."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[tuple[str, str, str], list] = {}
             for batch in batches:
-                for name, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    code, pieces = label_language(name), _teaching(own)
-                    for kind, c, what, shown in of(code, pieces) if code and pieces else ():
-                        entry = held.setdefault((kind, c, what), [shown, 0])
+                labelled = [(code, own) for name, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (code := label_language(name))]
+                for at in range(0, len(labelled), 200):
+                    for kind, c, what, shown in of(*map(list, zip(*labelled[at : at + 200], strict=True))):
+                        entry = held.get((kind, c, what))
+                        if entry is None:
+                            entry = held[kind, c, what] = [shown, 0]
                         entry[1] += 1
                         if shown is not None and shown < entry[0]:
                             entry[0] = shown
@@ -380,10 +442,15 @@ def fit_all(table: DataFrame, text: str = "text", label: str = "lang") -> ppm.Mo
 
         return rows.mapInArrow(run, counts).groupBy("kind", "code", "what").agg(F.min("shown").alias("shown"), F.sum("n").alias("n"))
 
-    def words(code: str, pieces: list[str]) -> Iterator[tuple[str, str, str, None]]:
-        yield "row", code, "", None
-        for word in set().union(*map(_words, pieces)):
-            yield "word", code, word, None
+    known: dict[str, Taught] = {}
+
+    def words(labels: list[str], texts: list[str]) -> Iterator[tuple[str, str, str, None]]:
+        taught = known.setdefault("words", Taught())
+        for code, text in zip(labels, texts, strict=True):
+            if own := taught.words_of(text):  # the empty word stands for the row
+                yield "row", code, "", None
+                for word in own - {""}:
+                    yield "word", code, word, None
 
     def told(df: DataFrame) -> list[tuple[str, str, int]]:
         counted = df.select("code", "what", "n").toArrow()
@@ -398,24 +465,19 @@ def fit_all(table: DataFrame, text: str = "text", label: str = "lang") -> ppm.Mo
         if word:
             held.setdefault(word, [0] * len(codes))[codes.index(code)] = n
     shared = spark.sparkContext.broadcast((held, sizes))
-    known: dict[str, dict] = {}
-
-    def pieces_of(_: str, pieces: list[str]) -> Iterator[tuple[str, str, str, str | None]]:
-        if not known:
-            known.update(logs=_logs(*shared.value), anew={})
-        if len(known["anew"]) > Identifier.STORE:
-            known["anew"] = {}
-        pairs: dict[str, set[str]] = {}
-        for piece in pieces:
-            if piece not in known["anew"]:
-                known["anew"][piece] = _anew(piece, _words(piece), known["logs"], codes)
-            if code := known["anew"][piece]:
-                pairs.setdefault(code, set()).update(_pairs(piece))
-                yield "piece", code, _LOT.sub("0", piece), piece
-        for code, own in pairs.items():
-            yield "row", code, "", None
-            for pair in own:
-                yield "pair", code, pair, None
+
+    def pieces_of(_: list[str], texts: list[str]) -> Iterator[tuple[str, str, str, str | None]]:
+        if "told" not in known:
+            known["told"] = Taught(*shared.value, codes)
+        for row in known["told"].told_of(texts):
+            pairs: dict[str, set[str]] = {}
+            for code, piece, bare, own in row:
+                pairs.setdefault(code, set()).update(own)
+                yield "piece", code, bare, piece
+            for code, every in pairs.items():
+                yield "row", code, "", None
+                for pair in every:
+                    yield "pair", code, pair, None
 
     found = checkpoint(gather(pieces_of))
     usual: dict[str, dict[str, int]] = {c: {} for c in CODES}

@@ -98,6 +98,7 @@ class Models:
     def __init__(self, classes: list[str], keys: np.ndarray, codes: np.ndarray, escapes: np.ndarray):
         self.classes, self.keys, self.codes, self.escapes = classes, keys, codes, escapes
         self._table: Table | None = None
+        self._links: tuple | None = None
 
     def __getstate__(self):
         return self.classes, self.keys, self.codes, self.escapes
@@ -172,9 +173,10 @@ class Models:
 
     def codes_of(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Code length of each byte of all pieces (rows) under each class (columns), and the row each piece starts at."""
-        if self._table is None:
-            self._table = Table(self.keys)
-        find = self._table.find
+        if self._links is None:
+            self._links = self._linked()
+        table, short, suffix, parent, chain = self._links
+        find = table.find
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         if not sizes.sum():
             return np.zeros((0, len(self.classes)), np.float32), np.zeros(len(pieces), np.int64)
@@ -182,22 +184,48 @@ class Models:
         starts = np.cumsum(sizes + len(PAD)) - sizes
         own = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
         packed = _packed(data)
-        now, before = packed[own], packed[own - 1]
+        now = packed[own]
         row = find(_key(now, ORDER + 1))
         rest = np.flatnonzero(row < 0)
-        extra = np.zeros((len(rest), len(self.classes)), np.float32)
-        places = np.arange(len(rest))
-        open_ = rest
-        for n in range(ORDER, 0, -1):
-            if not len(open_):
-                break
-            context = find(_key(before[open_], n))
-            hit = context >= 0
-            extra[places[hit]] += self.escapes[context[hit]]
-            row[open_] = find(_key(now[open_], n))
-            still = row[open_] < 0
-            open_, places = open_[still], places[still]
-        row[open_] = 0
-        codes = self.codes[row].astype(np.float32)
-        codes[rest] += extra
+        if len(rest):
+            # the longest string known: every suffix of a known string is known
+            late = now[rest]
+            last = np.take(short[2], (late & _mask(2)).astype(np.int64))
+            at = np.flatnonzero(last < 0)
+            last[at] = np.take(short[1], (late[at] & _mask(1)).astype(np.int64))
+            open_ = np.flatnonzero(last > 0)
+            open_ = open_[self.keys[last[open_]] >> np.uint64(56) == 2]
+            for n in range(3, ORDER + 1):
+                longer = find(_key(late[open_], n))
+                open_, longer = open_[longer >= 0], longer[longer >= 0]
+                last[open_] = longer
+            row[rest] = np.maximum(last, 0)
+            # the longest context is that of the byte before, or the padding
+            first = np.zeros(len(own) + 1, bool)
+            first[np.cumsum(sizes) - sizes] = True
+            before = np.where(first[rest], np.int32(short[0]), np.take(row, np.maximum(rest - 1, 0)))
+            before = np.where(before >= self._longest, np.take(suffix, before), before)
+        codes = np.take(self.codes, row, axis=0).astype(np.float32)
+        if len(rest):
+            codes[rest] += np.take(chain, before, axis=0) - np.take(chain, np.take(parent, row[rest]), axis=0)
         return codes, np.cumsum(sizes) - sizes
+
+    def _linked(self) -> tuple[Table, tuple, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each string its row without the first byte and without the last, and the escapes of it and all its suffixes as contexts; rows of strings of one and two bytes."""
+        if self._table is None:
+            self._table = Table(self.keys)
+        table, keys = self._table, self.keys
+        size = (keys >> np.uint64(56)).astype(np.int64)
+        own = keys & _mask(7)
+        less = np.maximum(size - 1, 0)
+        suffix = np.maximum(table.find((own & ((np.uint64(1) << (8 * less).astype(np.uint64)) - np.uint64(1))) | (less.astype(np.uint64) << np.uint64(56))), 0)
+        parent = np.maximum(table.find((own >> np.uint64(8)) | (less.astype(np.uint64) << np.uint64(56))), 0)
+        chain = self.escapes.astype(np.float32)
+        for n in range(2, ORDER + 1):
+            at = np.flatnonzero(size == n)
+            chain[at] += chain[suffix[at]]
+        padding = [int(r) for n in range(ORDER, 0, -1) if (r := table.find(_key(np.zeros(1, np.uint64) + np.uint64(int.from_bytes(PAD, "big")), n))[0]) >= 0]
+        short = (padding[0] if padding else 0, *(table.find(_key(np.arange(256**n, dtype=np.uint64), n)) for n in (1, 2)))
+        # strings of full length come last
+        self._longest = int(np.flatnonzero(size == ORDER + 1)[0]) if (size == ORDER + 1).any() else len(keys)
+        return table, short, suffix, parent, chain

@@ -106,3 +106,17 @@ def test_order_and_company_of_texts_change_nothing(repairer):
         assert dict(zip(mixed, mojibake.Repairer(repairer.models).repair(mixed), strict=True)) == one
     alone = mojibake.Repairer(repairer.models)
     assert all(mojibake.Repairer(repairer.models).repair([t])[0] == one[t] for t in texts[::7]) and alone.repair([]) == []
+
+
+def test_searches_ask_the_models_together(repairer, monkeypatch):
+    """Many garbled pieces take hardly more look-ups than one, with the same results; a second task of a worker goes on with what the first found."""
+    texts = [f"{CLEAN['fr'][0]} {k} {CLEAN['de'][0]}".encode().decode(wrong, "replace") for k in range(40, 60) for wrong in ("latin-1", "cp437", "mac_roman")]
+    asked = []
+    find = type(repairer.models).codes_of
+    monkeypatch.setattr(type(repairer.models), "codes_of", lambda self, pieces: asked.append(len(pieces)) or find(self, pieces))
+    one = mojibake.Repairer(repairer.models).repair(texts[:1])
+    single = len(asked)
+    together = mojibake.Repairer(repairer.models).repair(texts)
+    assert together[0] == one[0] and all(n for _, n in together)
+    assert len(asked) - single <= 4 * single + 8
+    assert mojibake._repairer(repairer.models) is mojibake._repairer(repairer.models)
