@@ -1,6 +1,8 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +159,23 @@ def test_range_join_shuffles_ids_and_not_pairs(spark):
     assert spatial.intersection_join(few.limit(0), many, 2.0).count() == spatial.intersection_join(few, many.limit(0), 2.0).count() == 0
 
 
+def test_pairs_of_crowded_rows_are_not_searched_for(monkeypatch):
+    """Ids of a crowded row are repeated in whole; the place of a pair is only searched for where rows have few. Nulls and empty rows stay right."""
+    searched = []
+    find = np.searchsorted
+    monkeypatch.setattr(spatial.np, "searchsorted", lambda ends, pair, **k: searched.append(len(pair)) or find(ends, pair, **k))
+    a = [[1, 2, None], list(range(300)), [], [7], list(range(200_000)), [8]]
+    b = [[5], list(range(1000, 1500)), [1], [None, 9], [3, 4, None], []]
+    batch = pa.RecordBatch.from_arrays([pa.array(a, pa.list_(pa.int64())), pa.array(b, pa.list_(pa.int64()))], names=["a_ids", "b_ids"])
+    for part in (batch, batch.slice(1, 3), batch.slice(2, 1)):
+        got = list(spatial._pairs(iter([part])))
+        key = lambda x: tuple((v is not None, v or 0) for v in x)
+        pairs = [p for g in got for p in zip(g.column(0).to_pylist(), g.column(1).to_pylist(), strict=True)]
+        want = [(i, j) for x, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for j in y for i in x]
+        assert sorted(pairs, key=key) == sorted(want, key=key) and all(g.num_rows <= spatial.PAIRS for g in got)
+    assert sum(searched) == 5 + 2
+
+
 def test_nearest_points_meet_few_others(spark):
     """As by brute force: places shared by many points, clusters, places far apart, distances that round alike; dense places are met in part."""
     r = random.Random(9)
